@@ -15,6 +15,11 @@ WORD = r"[\p{L}\p{N}_]"
 _LETTERISH = r"[\p{L}\p{Nl}\p{No}_]"
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression to a lambda variable, so that inner lambdas do not evaluate it again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -80,12 +85,11 @@ def words(c: Column) -> Column:
 
 def shingles(c: Column, k: int = 8) -> Column:
     """Distinct word k-grams of the lower-cased text; empty below k words."""
-    w = words(c)
-    return F.when(
+    return let(words(c), lambda w: F.when(
         F.size(w) >= k,
         F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)),
                                      lambda i: F.array_join(F.slice(w, i, k), " "))),
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def clean_span(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
@@ -102,11 +106,13 @@ def split_words(c: Column) -> Column:
 
 def word_edit_distance(ref: Column, hyp: Column) -> Column:
     """Levenshtein distance over words: every distinct word of the pair becomes one code point."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
 
-    def encode(ws: Column) -> Column:
-        codes = F.transform(ws, lambda w: F.lpad(
-            F.hex(F.lit(0x4E00) + F.array_position(vocabulary, w)), 8, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+    def encode(ws: Column, vocabulary: Column) -> Column:
+        code = lambda w: F.lit(0x4E00) + F.array_position(vocabulary, w)
+        # code points step over the surrogate range, so that any vocabulary size works
+        safe = lambda n: F.when(n >= 0xD800, n + 0x800).otherwise(n)
+        hexed = F.transform(ws, lambda w: F.lpad(F.hex(safe(code(w))), 8, "0"))
+        return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
 
-    return F.levenshtein(encode(ref), encode(hyp))
+    return let(F.array_distinct(F.concat(ref, hyp)),
+               lambda v: F.levenshtein(encode(ref, v), encode(hyp, v)))

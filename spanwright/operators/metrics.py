@@ -189,26 +189,31 @@ def tune_assertions(docs: DataFrame, scored: DataFrame, mode: str = "concept_fir
     covered = wide.select("doc_id").distinct().count()
     constant = (n_docs - covered) * sum(weights.values())
 
-    def total(parts: list[tuple[str, int]]) -> Column:
-        inter = sum((F.col(a)["inter"][i] for a, i in parts), F.lit(0))
-        union = sum((F.col(a)["union"][i] for a, i in parts), F.lit(0))
-        n_gold = sum((F.col(a)["n_gold"] for a, _ in parts), F.lit(0))
-        return F.sum(share[F.col("mode")] * jaccard(inter, union, n_gold))
-
-    def evaluate(candidates: list[list[float]]) -> list[float]:
-        sums = [total([(a, points.index(t)) for a, t in zip(vocab.ASSERTIONS, th)]) for th in candidates]
-        found = wide.agg(F.array(*sums).alias("s")).first()["s"]
-        return [((x or 0.0) + constant) / n_docs for x in found]
+    def evaluate(th: list[float], j: int) -> list[float]:
+        """Scores of `th` with every grid point in place j; one row per (document, mode, point)."""
+        at = {a: points.index(t) for a, t in zip(vocab.ASSERTIONS, th)}
+        moving = vocab.ASSERTIONS[j]
+        fixed = [a for a in vocab.ASSERTIONS if a != moving]
+        base = lambda f: sum((F.col(a)[f][at[a]] for a in fixed), F.lit(0))
+        rows = wide.select(
+            share[F.col("mode")].alias("share"), base("inter").alias("i"), base("union").alias("u"),
+            sum((F.col(a)["n_gold"] for a in vocab.ASSERTIONS), F.lit(0)).alias("n_gold"),
+            F.posexplode(F.arrays_zip(F.col(moving)["inter"].alias("di"), F.col(moving)["union"].alias("du"))).alias("point", "d"))
+        score = jaccard(F.col("i") + F.col("d.di"), F.col("u") + F.col("d.du"), F.col("n_gold"))
+        found = dict(rows.groupBy("point").agg(F.sum(F.col("share") * score)).collect())
+        return [(found.get(i, 0.0) + constant) / n_docs for i in range(len(points))]
 
     current = list(start)
-    best = evaluate([current])[0]
+    best = evaluate(current, 0)[points.index(current[0])]
     for _ in range(passes):
         improved = False
         for j in range(len(vocab.ASSERTIONS)):
-            tries = [current[:j] + [t] + current[j + 1:] for t in grid]
-            for th, score in zip(tries, evaluate(tries)):
+            scores = evaluate(current, j)
+            for t in grid:
+                score = scores[points.index(t)]
                 if score > best + 1e-9:
-                    best, current, improved = score, th, True
+                    best, improved = score, True
+                    current = current[:j] + [t] + current[j + 1:]
         if not improved:
             break
     wide.unpersist()

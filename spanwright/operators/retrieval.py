@@ -10,12 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwright.functions.text import tokens
+from spanwright.session import durable
 
 # Okapi constants, over-fetch factor and fusion constant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -47,17 +47,15 @@ def bm25_index(entries: DataFrame) -> DataFrame:
     split = entries.select("ord", tokens(F.col("norm")).alias("t"))
     totals = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl")).first()
     n_docs, avgdl = totals["n_docs"], totals["avgdl"] or 1.0
-    postings = (split.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-                .groupBy("term", "ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings = durable(split.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
+                    .groupBy("term", "ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.withColumn("idf", raw)
+    idf = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", raw)
     mean_idf = idf.agg(F.avg("idf")).first()[0] or 0.0
     floor = F.when(F.col("idf") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
-    return (postings.join(idf.select("term", floor.alias("idf"), "df"), "term")
-            .select("term", "ord", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"), "df")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    return durable(postings.join(idf.select("term", floor.alias("idf"), "df"), "term")
+                .select("term", "ord", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"), "df"))
 
 
 def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
@@ -70,8 +68,9 @@ def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: Data
     """
     impacts = bm25_index(entries) if index is None else index
     depth = OVERFETCH * k
-    qterms = (queries.select("key", F.explode(tokens(F.col("norm"))).alias("term"))
-              .groupBy("key", "term").agg(F.count("*").alias("qtf")))
+    queries = durable(queries)
+    qterms = durable(queries.select("key", F.explode(tokens(F.col("norm"))).alias("term"))
+                  .groupBy("key", "term").agg(F.count("*").alias("qtf")))
 
     stats = impacts.groupBy("term").agg(F.max("w").alias("top"), F.min("w").alias("low"))
     champions = top_ranked(impacts, ["term"], [F.desc("w"), F.asc("ord")], depth, "pos")
@@ -86,19 +85,19 @@ def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: Data
               .withColumn("cum", F.sum("ub").over(w))
               .withColumn("worst", F.min("low").over(Window.partitionBy("key"))))
     safe = F.col("bound").isNotNull() & (F.col("worst") >= 0)
-    judged = judged.withColumn("essential", ~safe | (F.col("cum") >= F.col("bound") - 1e-6))
+    judged = durable(judged.withColumn("essential", ~safe | (F.col("cum") >= F.col("bound") - 1e-6)))
 
     found = _score_join(judged.filter("essential").select("key", "term", "qtf", "bound"), impacts)
     rest = judged.filter(~F.col("essential"))
     slack = rest.groupBy("key").agg(F.max("cum").alias("slack"))
     # Entries that stay below the bound even with every remaining term are finished here.
-    alive = found.join(slack, "key", "left").filter(
-        F.col("slack").isNull() | (F.col("s") + F.col("slack") >= F.col("bound") - 1e-6))
+    alive = durable(found.join(slack, "key", "left").filter(
+        F.col("slack").isNull() | (F.col("s") + F.col("slack") >= F.col("bound") - 1e-6)))
     extra = (alive.select("key", "ord").join(rest.select("key", "term", "qtf"), "key")
              .join(impacts.select("term", "ord", "w"), ["term", "ord"])
              .select("key", "ord", (F.col("qtf") * F.col("w")).alias("s")))
-    scored = (alive.select("key", "ord", "s").unionByName(extra)
-              .groupBy("key", "ord").agg(F.round(F.sum("s"), 9).alias("score")))
+    scored = durable(alive.select("key", "ord", "s").unionByName(extra)
+                  .groupBy("key", "ord").agg(F.round(F.sum("s"), 9).alias("score")))
     padded = scored.unionByName(_zero_fill(queries, scored, entries, depth))
     ranked = top_ranked(padded, ["key"], [F.desc("score"), F.asc("ord")], depth, "pos")
     return best_per_code(ranked.join(entries.select("ord", "code", "description"), "ord"), k)
@@ -107,10 +106,10 @@ def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: Data
 def _score_join(terms: DataFrame, impacts: DataFrame) -> DataFrame:
     """sum(qtf * w) per (key, ord); long posting lists are cut into slices over several tasks."""
     hot = F.col("df") > HOT_POSTINGS
-    lists = impacts.withColumn("slice", F.when(hot, F.pmod(F.xxhash64("ord"), F.lit(SALTS))).otherwise(F.lit(0)))
+    lists = impacts.withColumn("slice", F.when(hot, F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     sizes = impacts.groupBy("term").agg(F.first("df").alias("df"))
     spread = terms.join(sizes, "term").withColumn("slice", F.explode(F.when(
-        hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
+        hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return (spread.select("key", "term", "qtf", "bound", "slice")
             .join(lists.select("term", "slice", "ord", "w"), ["term", "slice"])
             .groupBy("key", "ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"),
@@ -155,7 +154,7 @@ def dense_search(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFra
     n_e = max(1, math.ceil(entries.count() / BLOCK_ROWS))
 
     def blocks(df: DataFrame, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-        return df.select(F.col(name), F.col("vector"),
+        return df.select(F.col(name).alias(name), F.col("vector").cast("array<double>").alias("vector"),
                          F.pmod(F.xxhash64(name), F.lit(own)).cast("int").alias(mine),
                          F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
 
@@ -168,8 +167,8 @@ def dense_search(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFra
         if q.empty or e.empty:
             return pd.DataFrame({"key": [], "ord": [], "score": []})
         e = e.sort_values("ord")
-        sims = np.round(np.stack(q["vector"].to_numpy()).astype("float64")
-                        @ np.stack(e["vector"].to_numpy()).astype("float64").T, 9)
+        sims = np.round(np.stack(q["vector"].to_numpy())
+                        @ np.stack(e["vector"].to_numpy()).T, 9)
         take = np.argsort(-sims, axis=1, kind="stable")[:, :depth]
         return pd.DataFrame({"key": np.repeat(q["key"].to_numpy(), take.shape[1]),
                              "ord": e["ord"].to_numpy()[take].ravel(),
