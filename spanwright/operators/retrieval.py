@@ -87,12 +87,16 @@ def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: Data
     safe = F.col("bound").isNotNull() & (F.col("worst") >= 0)
     judged = durable(judged.withColumn("essential", ~safe | (F.col("cum") >= F.col("bound") - 1e-6)))
 
-    found = _score_join(judged.filter("essential").select("key", "term", "qtf", "bound"), impacts)
+    found = durable(_score_join(judged.filter("essential").select("key", "term", "qtf"), impacts))
     rest = judged.filter(~F.col("essential"))
-    slack = rest.groupBy("key").agg(F.max("cum").alias("slack"))
-    # Entries that stay below the bound even with every remaining term are finished here.
+    # The partial scores give a sharper bound; entries that stay below it even with every
+    # remaining term are finished here. Keys without remaining terms keep all their entries.
+    reached = (top_ranked(found, ["key"], [F.desc("s")], depth).groupBy("key")
+               .agg(F.when(F.count("*") == depth, F.min("s")).alias("reached")))
+    slack = rest.groupBy("key").agg(F.max("cum").alias("slack")).join(reached, "key")
     alive = durable(found.join(slack, "key", "left").filter(
-        F.col("slack").isNull() | (F.col("s") + F.col("slack") >= F.col("bound") - 1e-6)))
+        F.col("slack").isNull() | F.col("reached").isNull()
+        | (F.col("s") + F.col("slack") >= F.col("reached") - 1e-6)))
     extra = (alive.select("key", "ord").join(rest.select("key", "term", "qtf"), "key")
              .join(impacts.select("term", "ord", "w"), ["term", "ord"])
              .select("key", "ord", (F.col("qtf") * F.col("w")).alias("s")))
@@ -110,10 +114,9 @@ def _score_join(terms: DataFrame, impacts: DataFrame) -> DataFrame:
     sizes = impacts.groupBy("term").agg(F.first("df").alias("df"))
     spread = terms.join(sizes, "term").withColumn("slice", F.explode(F.when(
         hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return (spread.select("key", "term", "qtf", "bound", "slice")
+    return (spread.select("key", "term", "qtf", "slice")
             .join(lists.select("term", "slice", "ord", "w"), ["term", "slice"])
-            .groupBy("key", "ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"),
-                                       F.first("bound").alias("bound")))
+            .groupBy("key", "ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("s")))
 
 
 def _zero_fill(queries: DataFrame, scored: DataFrame, entries: DataFrame, depth: int) -> DataFrame:

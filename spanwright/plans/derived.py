@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanwright import vocab
 from spanwright.functions.text import fold_punctuation
 from spanwright.operators.models import tokenize_column
-from spanwright.session import read_table
+from spanwright.session import read_table, spread
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -28,7 +28,7 @@ def word_tokenizer():
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,8 +36,8 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return spread(read_table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id")
 
 
 def outlines(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,7 @@ from spanwright.operators.concepts import eligible_for_codes, inside_spans, vali
 from spanwright.plans import derived as dv
 from spanwright.plans import oracle as o
 from spanwright.plans.annotate import annotate
-from spanwright.session import read_table
+from spanwright.session import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, tuple[Query, str | None]] = {}
@@ -381,7 +381,7 @@ def prior_gate(spark, sf):
 
 
 def _bm25_entries(spark, sf):
-    return read_table(spark, sf, "documents").select(
+    return spread(read_table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("ord"), F.concat("source", F.lit("-"), (F.col("doc_id") % 7).cast("string")).alias("code"),
         F.col("text").alias("description"), tx.normalize(F.col("text")).alias("norm"))
 

@@ -34,6 +34,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give text-heavy work enough tasks when a table has few splits.
+
+    A large table has far more splits than the cluster has slots and is left as it is. The
+    hash layout by document also serves the later joins and windows on that key.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * slots else df.repartition(2 * slots, key)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, so that lost executors cost nothing.
 
