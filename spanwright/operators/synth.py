@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright import vocab
+from spanwright.session import durable
 
 # Probabilities and sizes of the generator.
 QA_PROB, PROSE_PROB, DRUG_SECTION_PROB = 0.35, 0.65, 0.33
@@ -55,8 +56,9 @@ def dense_index(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
     Rows are numbered inside (input partition, key) and shifted by per-partition counts.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright("_id", 33))
+    # the numbering is written out once: computed twice it could follow different partitions
+    tagged = durable(df.withColumn("_id", F.monotonically_increasing_id()).withColumn(
+        "_part", F.shiftright("_id", 33)))
     local = Window.partitionBy("_part", *keys).orderBy("_id")
     sizes = tagged.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,7 +21,7 @@ def _stem(extension: str) -> Column:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """docs(doc_id, ord, text): one row per .txt file, line ends as \\n, ord for numeric names."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return raw.select(_stem("txt").alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text")).select(
         "doc_id", F.expr("try_cast(doc_id AS bigint)").alias("ord"), "text")
 
@@ -42,7 +42,7 @@ def parse_concepts(raw: DataFrame) -> DataFrame:
 
 
 def read_concepts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     return parse_concepts(raw.select(_stem("json").alias("doc_id"), "value"))
 
 
