@@ -44,7 +44,9 @@ def normalize(c: Column) -> Column:
 
 def fold_punctuation(c: Column) -> Column:
     """`normalize` for text that is already NFC; stays inside the JVM."""
-    return strip(collapse(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_À-ỹ]", " ")))
+    # plain spaces are left alone, so only real punctuation costs a replacement
+    spaced = F.regexp_replace(F.lower(c), r"(?:[^\p{L}\p{N}_À-ỹ ]|\x{1680})+", " ")
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def match_key(c: Column) -> Column:
@@ -58,8 +60,8 @@ def vote_key(c: Column) -> Column:
 
 def tokens(normed: Column) -> Column:
     """Retrieval tokens of a normalised string: digits and letters are split apart."""
-    edge = rf"(?<=\p{{Nd}})(?={_LETTERISH})|(?<={_LETTERISH})(?=\p{{Nd}})"
-    parts = F.split(F.regexp_replace(normed, edge, " "), f"{WS}+", -1)
+    after = F.regexp_replace(normed, rf"(\p{{Nd}})({_LETTERISH})", "$1 $2")
+    parts = F.split(F.regexp_replace(after, rf"({_LETTERISH})(\p{{Nd}})", "$1 $2"), " ", -1)
     return F.filter(parts, lambda t: t != "")
 
 

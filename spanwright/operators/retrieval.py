@@ -44,7 +44,7 @@ def bm25_index(entries: DataFrame) -> DataFrame:
 
     Statistics are joined as one-row or per-term aggregates; the result is kept for reuse.
     """
-    split = entries.select("ord", tokens(F.col("norm")).alias("t"))
+    split = durable(entries.select("ord", tokens(F.col("norm")).alias("t")))
     totals = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl")).first()
     n_docs, avgdl = totals["n_docs"], totals["avgdl"] or 1.0
     postings = durable(split.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright import vocab
+from spanwright.functions.text import let
 from spanwright.session import durable
 
 # Probabilities and sizes of the generator.
@@ -168,11 +169,11 @@ def prose_windows(wanted: DataFrame, docs: DataFrame, concepts: DataFrame, seed:
         F.col("raw") - F.length(F.substring_index(F.substring("text", F.lit(1), F.col("raw")), "\n", -1)))
     after = F.substring(F.col("text"), F.col("raw") + target + 1, n)
     b = F.when(F.col("whole"), n).otherwise(F.col("raw") + target + F.length(F.substring_index(after, "\n", 1)))
-    cut = placed.withColumn("a", a).withColumn("b", b)
-    inside = F.filter("c", lambda x: (x["start"] >= F.col("a")) & (x["end"] <= F.col("b")))
-    moved = F.transform(inside, lambda x: F.struct(*[x[f].alias(f) for f in _POOL],
-                                                   (x["start"] - F.col("a")).alias("start"),
-                                                   (x["end"] - F.col("a")).alias("end")))
+    cut = placed.withColumn("a", a.cast("int")).withColumn("b", b.cast("int"))
+    moved = let(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), lambda w: F.transform(
+        F.filter("c", lambda x: (x["start"] >= w["a"]) & (x["end"] <= w["b"])),
+        lambda x: F.struct(*[x[f].alias(f) for f in _POOL], (x["start"] - w["a"]).alias("start"),
+                           (x["end"] - w["a"]).alias("end"))))
     hit = cut.select("doc_id", "at", "try", F.substring("text", F.col("a") + 1, F.col("b") - F.col("a")).alias("text"),
                      moved.alias("items")).filter(F.size("items") > 0)
     return hit.groupBy("doc_id", "at").agg(F.min_by(F.struct("text", "items"), "try").alias("w")).select(
@@ -185,7 +186,7 @@ def synthesize(spark, pool: DataFrame, n: int = 400, seed: int = 0, qa_prob: flo
 
     `labelled` = (docs, concepts) enables real prose windows between the sections.
     """
-    lines = outline(spark, n, seed, qa_prob)
+    lines = durable(outline(spark, n, seed, qa_prob))
     place = [F.col(c) for c in ("doc_id", "sec", "sub", "item")]
     u = lambda what: unit(seed, what, *place)
     indexed, counts = dense_index(pool, ["type", "akey"])
