@@ -124,20 +124,16 @@ def assertion_prompts(spark, sf):
     return assertion.tuning_examples(docs, dv.word_concepts(docs, 8)).select("doc_id", "cid", "prompt", "target")
 
 
-_ANSWER_SQL = """CASE doc_id % 4 WHEN 0 THEN 'ok ["isFamily", "isNegated", "x"] ' || text WHEN 1 THEN 'isHistorical, ' || text
-  WHEN 2 THEN '[] ' || text ELSE text || ' ["isHistorical"' END"""
-
-
-@query("parse_labels", o.q(o.TURNS, f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'isNegated|isFamily' WHEN 1 THEN 'isHistorical' WHEN 2 THEN '' ELSE 'isHistorical' END AS labels
-  FROM turns WHERE text NOT LIKE '%[%' AND text NOT LIKE '%]%' AND text NOT LIKE '%is%N%'"""))
+@query("parse_labels", o.q(o.TURNS, """, answers AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok ["isFamily", "isNegated", "x"] ' || text WHEN 1 THEN 'isHistorical, ' || text
+  WHEN 2 THEN '[] ' || text ELSE text || ' ["isHistorical"' END AS answer FROM turns)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'isNegated|isFamily' ELSE array_to_string(list_filter(['isNegated','isFamily','isHistorical'], lambda a: contains(answer, a)), '|') END AS labels
+FROM answers""".strip()).replace("\n,", ","))
 def parse_labels(spark, sf):
-    t = F.col("text")
-    answers = dv.turns(spark, sf).filter(~t.contains("[") & ~t.contains("]") & ~t.like("%is%N%"))
-    m = F.col("doc_id") % 4
+    t, m = F.col("text"), F.col("doc_id") % 4
     answer = (F.when(m == 0, F.concat(F.lit('ok ["isFamily", "isNegated", "x"] '), t))
               .when(m == 1, F.concat(F.lit("isHistorical, "), t)).when(m == 2, F.concat(F.lit("[] "), t))
               .otherwise(F.concat(t, F.lit(' ["isHistorical"'))))
-    return answers.select("doc_id", _joined(ctx.parse_labels(answer)).alias("labels"))
+    return dv.turns(spark, sf).select("doc_id", _joined(ctx.parse_labels(answer)).alias("labels"))
 
 
 @query("parse_codes", o.q(o.LINES, """SELECT l_orderkey AS doc_id, cid, CASE cid % 3 WHEN 0 THEN 'P' || l_partkey || '.1' WHEN 1 THEN NULL ELSE 'P' || l_partkey END AS code FROM lines"""))

@@ -16,7 +16,12 @@ LABEL = ("array<struct<text:string,type:string,position:array<int>,"
 
 
 def _stem(extension: str) -> Column:
-    return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{extension}$", 1))
+    return _decoded(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{extension}$", 1))
+
+
+def _decoded(name: Column) -> Column:
+    """File names are percent-encoded; a plain plus sign stands for itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +55,7 @@ def read_labelled(spark: SparkSession, texts: str, labels: str) -> tuple[DataFra
     """(docs, concepts); fails when a text has no label file."""
     docs = read_texts(spark, texts)
     files = spark.read.option("pathGlobFilter", "*.json").format("binaryFile").load(labels)
-    named = files.select(F.url_decode(F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("doc_id"))
+    named = files.select(_decoded(F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("doc_id"))
     missing = docs.select("doc_id").join(named, "doc_id", "left_anti").limit(1).collect()
     if missing:
         raise FileNotFoundError(f"no label file for document {missing[0][0]}")
