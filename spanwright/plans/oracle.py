@@ -138,11 +138,12 @@ phrases AS (SELECT phrase, arg_min(type, (-n, first)) AS type, min(first) AS ran
 TAGGED = FIT + "," + DOCS.replace("text FROM", "lower(text) AS low, text FROM") + r""",
 heads AS (SELECT regexp_extract(phrase, '^([\p{L}\p{N}]+|.)') AS head, list(DISTINCT length(phrase)) AS lens FROM phrases WHERE length(phrase) >= 2 GROUP BY 1),
 dt0 AS (SELECT doc_id, unnest(l) t, generate_subscripts(l, 1) i FROM (SELECT doc_id, regexp_extract_all(low, '[\p{L}\p{N}]+|[^\p{L}\p{N}]') l FROM docs)),
-dt1 AS (SELECT doc_id, t, i, CAST(sum(length(t)) OVER w - length(t) AS INT) s, lag(t) OVER w AS prior FROM dt0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-cands AS (SELECT doc_id, s, unnest(lens) AS n FROM dt1 JOIN heads ON t = head
+dt1 AS (SELECT doc_id, t, i, CAST(sum(length(t)) OVER w - length(t) AS INT) s, lag(t) OVER w AS prior,
+  string_agg(t, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 80 FOLLOWING) AS ahead FROM dt0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+cands AS (SELECT doc_id, s, ahead, unnest(lens) AS n FROM dt1 JOIN heads ON t = head
   WHERE regexp_matches(t, '^[\p{L}\p{N}]') OR prior IS NULL OR NOT regexp_matches(prior, '^[\p{L}\p{N}]')),
-hits AS (SELECT c.doc_id, s, s + n AS e, p.type, p.rank FROM cands c JOIN docs d USING (doc_id) JOIN phrases p ON p.phrase = substr(low, s + 1, n)
-  WHERE length(p.phrase) = n AND NOT regexp_matches(substr(low, s + n + 1, 1), '[\p{L}\p{N}]')),
+hits AS (SELECT c.doc_id, s, s + n AS e, p.type, p.rank FROM cands c JOIN phrases p ON p.phrase = substr(ahead, 1, n)
+  WHERE length(p.phrase) = n AND NOT regexp_matches(substr(ahead, n + 1, 1), '[\p{L}\p{N}]')),
 packed AS (SELECT doc_id, list({'n': s - e, 'r': rank, 's': s, 'e': e, 't': type} ORDER BY s - e, rank, s) AS l FROM hits GROUP BY 1),
 folded AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN length(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS x
   FROM (SELECT doc_id, list_transform(l, lambda z: [z]) AS l FROM packed)),
