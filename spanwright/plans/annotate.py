@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwright.operators.assertion import annotate_rules
 from spanwright.operators.concepts import require_valid
+from spanwright.session import durable
 from spanwright.sources.documents import CONCEPTS, read_texts, to_json_documents, write_json_files
 
 Tagger = Callable[[DataFrame], DataFrame]
@@ -21,7 +22,8 @@ def annotate(docs: DataFrame, tagger: Tagger | None = None, mapper: Step | None
     concepts) are plain DataFrame functions; a missing one is skipped."""
     if tagger is None:
         return docs.sparkSession.createDataFrame([], CONCEPTS)
-    concepts = tagger(docs)
+    # written out once: the later steps split and rejoin the concepts, and would tag again
+    concepts = durable(tagger(docs))
     if asserter is not None:
         concepts = asserter(docs, concepts)
     if mapper is not None:
