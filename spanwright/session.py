@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,21 +46,33 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 4 * slots else df.repartition(2 * slots, key)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder, so that lost executors cost nothing.
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder for local sessions without `spark.checkpoint.dir`; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="spanwright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in `spark.checkpoint.dir`.
 
-    The folder comes from the cluster (`spark.checkpoint.dir`). Only a local session without
-    one gets a temporary folder; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of that machine.
+    A cluster without that setting is refused: a machine-local folder would not survive the loss
+    of that machine. Only a local session gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder, so that lost executors cost nothing."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spanwright-checkpoint-", dir=os.environ.get("TMPDIR"))
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

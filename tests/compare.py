@@ -49,18 +49,20 @@ def check(spark, con, folder: str, name: str, fn, sql: str | None):
 
 
 def main() -> int:
-    from spanwright.plans.registered import REGISTERED
+    import __spark_entry__ as contract
     from spanwright.session import build_session
 
+    queries, statements = contract.queries(), contract.oracle_sql()
+
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    names = sys.argv[2:] or list(REGISTERED)
+    names = sys.argv[2:] or list(queries)
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = database(folder), 0
     for name in names:
         try:
             start = time.time()
-            ok, message, took = check(spark, con, folder, name, *REGISTERED[name])
+            ok, message, took = check(spark, con, folder, name, queries[name], statements.get(name))
         except Exception as e:  # report and go on with the next query
             ok, message, took = False, f"{type(e).__name__}: {str(e)[:1200]}", time.time() - start
         bad += not ok
