@@ -164,7 +164,7 @@ def _reassembled(docs: DataFrame, path: str, pattern: str, id_col: str, text_col
     ids = posted_rows.mapInArrow(encoded, "block string, number int, ids binary")
     # The rows of positions already lie by block. The condition is marked as not deterministic and all columns are
     # kept, so that this branch reads the same shuffle as the other one instead of cutting the documents again.
-    texts = posted_rows.where(F.when(F.rand() >= 0, F.col("word").isNull()))
+    texts = posted_rows.where(F.when(F.spark_partition_id() >= 0, F.col("word").isNull()))
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"id {kind}, ids array<int>"
 
     def assemble(left: list[pa.RecordBatch], right: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
