@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spanwright.llm import urls
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _LEDGER = rf"""
@@ -58,3 +60,33 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(root) AS root FR
 
 
 OP4 = near_duplicates(2)
+
+
+_HOST = "translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = f"""SELECT *, {_HOST} AS host, regexp_extract(substr(rest, length({_HOST}) + 1), '^[^?#]*', 0) AS path
+FROM (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest"""
+_BUCKETS = """list_distinct(list_transform(CASE WHEN host = '' THEN ['bias'] ELSE
+    list_transform(range(1, length(host) + 1), lambda i: 'h' || substr('^' || host || '$', i, 3))
+    || list_transform(range(1, greatest(length(path) - 1, 1)), lambda i: 'p' || substr(path, i, 3)) || ['bias'] END,
+    lambda g: ('0x' || substr(md5(g), 1, 6))::INT % 1024))"""
+_LABELLED = ", ".join(f"('{u}', {y})" for u, y in urls.LABELLED)
+
+OP7 = f"""WITH RECURSIVE
+lab AS (SELECT row_number() OVER (ORDER BY url, y) AS i, y, {_BUCKETS} AS b FROM ({_SPLIT} FROM (VALUES {_LABELLED}) AS v (url, y)))),
+gram AS (SELECT a.i, list(len(list_intersect(a.b, c.b)) / sqrt(len(a.b) * len(c.b)) ORDER BY c.i) AS g FROM lab a, lab c GROUP BY a.i),
+one AS (SELECT list(g ORDER BY i) AS gm, list(y::DOUBLE ORDER BY i) AS ys FROM gram JOIN lab USING (i)),
+learn AS (SELECT 0 AS t, list_transform(ys, lambda y: 0::DOUBLE) AS al FROM one
+          UNION ALL SELECT t + 1, list_transform(range(1, len(al) + 1), lambda i: al[i] * {1 - urls.RATE * urls.DECAY!r}
+            + {urls.RATE!r} * (ys[i] - 1 / (1 + exp(-list_inner_product(gm[i], al))))) FROM learn, one WHERE t < {urls.STEPS}),
+w AS (SELECT k, sum(al[i] / sqrt(len(b))) AS w FROM (SELECT i, b, unnest(b) AS k FROM lab), (SELECT al FROM learn WHERE t = {urls.STEPS}) GROUP BY k),
+p AS (SELECT page_id, host, path, {_BUCKETS} AS b FROM ({_SPLIT} FROM pages))),
+s AS (SELECT page_id, sum(coalesce(w, 0)) / sqrt(count(*)) AS m FROM (SELECT page_id, unnest(b) AS k FROM p) LEFT JOIN w USING (k) GROUP BY page_id),
+r AS (SELECT page_id, host, path, m, CASE
+        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+      FROM p JOIN s USING (page_id))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN m >= 0 THEN 'block' ELSE 'allow' END AS verdict FROM r"""

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.llm import bpe, decontam, minhash, oracle, rules, secrets
-from spanwright.session import read_table
+from spanwright.llm import bpe, cotrain, decontam, minhash, oracle, packed, rules, secrets, tokencount, toxicity, urls
+from spanwright.session import read_table, shared_folder
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+OTHER_BYTE_BPE = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
+END_ID = 2
+
+
+def op1_cotrain(spark: SparkSession, folder: str) -> DataFrame:
+    return cotrain.quality(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +41,30 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, folder, "documents"), width=2)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    machine = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    packed.write(read_table(spark, folder, "documents"), path, public_tokenizers.path(WORD_BPE), END_ID)
+    return packed.read(spark, path)
+
+
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    weights = urls.train(spark.createDataFrame(urls.LABELLED, "url string, label int"))
+    return urls.judge(read_table(spark, folder, "pages").select("page_id", "url"), weights).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = tokencount.count_tokens(read_table(spark, folder, "documents"), public_tokenizers.path(OTHER_BYTE_BPE), public_tokenizers.PATTERN)
+    return counted.select("doc_id", "section", "n_sections", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
@@ -52,10 +85,15 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTERED = {
+    "op1_cotrain": (op1_cotrain, None),
     "op2_bpe": (op2_bpe, None),
     "op3_rules": (op3_rules, oracle.OP3),
     "op3_ablations": (op3_ablations, oracle.OP3_ABLATIONS),
     "op4_minhash": (op4_minhash, oracle.OP4),
+    "op5_toxicity": (op5_toxicity, None),
+    "op6_packed_ids": (op6_packed_ids, None),
+    "op7_urls": (op7_urls, oracle.OP7),
+    "op9_token_counts": (op9_token_counts, None),
     "op8_decontaminate": (op8_decontaminate, None),
     "op10_secrets": (op10_secrets, None),
 }

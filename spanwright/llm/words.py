@@ -109,20 +109,10 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = W
         return rows, _hashed(LOWER[data] if lower else data, starts, ends)
     rows, found = [], []
     for row in range(len(bounds) - 1):
-        text = data[bounds[row]:bounds[row + 1]]
-        low = 0
-        while low < len(text):
-            high = min(len(text), low + GROUP_BYTES)
-            while high < len(text):  # on to the next separator
-                stop = np.flatnonzero(separators[text[high:high + GROUP_BYTES]])
-                high = high + int(stop[0]) if len(stop) else min(len(text), high + GROUP_BYTES)
-                if len(stop):
-                    break
-            piece = text[low:high]
+        for piece in pieces(data[bounds[row]:bounds[row + 1]], separators):
             starts, ends = spans(piece, np.array([0, len(piece)]), separators)
             found.append(_hashed(LOWER[piece] if lower else piece, starts, ends))
             rows.append(np.full(len(starts), row))
-            low = high
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
@@ -141,3 +131,38 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 def row_slices(rows: np.ndarray, n: int) -> np.ndarray:
     """Bounds of each row's words, given the row of each word in order."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def word_parts(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of each word and of its beginnings of so many bytes (of longer words only), a part of the group at a time."""
+    def parts(raw: np.ndarray, cuts: np.ndarray, row0: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = LOWER[raw]
+        starts, ends = spans(raw, cuts, separators)
+        rows = np.searchsorted(cuts, starts, "right") - 1 + row0
+        all_rows, found = [rows], [_hashed(raw, starts, ends)]
+        for n in prefixes:
+            longer = ends - starts > n
+            all_rows.append(rows[longer])
+            found.append(mix(_hashed(raw, starts[longer], starts[longer] + n)))
+        return np.concatenate(all_rows), np.concatenate(found)
+
+    if len(data) <= 2 * GROUP_BYTES:
+        yield parts(data, bounds, 0)
+        return
+    for row in range(len(bounds) - 1):
+        for piece in pieces(data[bounds[row]:bounds[row + 1]], separators):
+            yield parts(piece, np.array([0, len(piece)]), row)
+
+
+def pieces(text: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about GROUP_BYTES, cut before separators; a longer word stays whole."""
+    low = 0
+    while low < len(text):
+        high = min(len(text), low + GROUP_BYTES)
+        while high < len(text):
+            stop = np.flatnonzero(separators[text[high:high + GROUP_BYTES]])
+            high = high + int(stop[0]) if len(stop) else min(len(text), high + GROUP_BYTES)
+            if len(stop):
+                break
+        yield text[low:high]
+        low = high
