@@ -25,7 +25,7 @@ from spanwright.session import durable
 ROUNDS = 3
 STEPS = 4
 SURE = 0.95
-RIDGE = 1.0
+RIDGE = 0.1
 CONTENT = 17
 LANGS, SOURCES, SIZES = 16, 64, 24
 META = LANGS + SOURCES + SIZES + 1
@@ -52,10 +52,10 @@ def content_vector(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     grams = shingles(words, 3)
     windows = shingles(words, 8)
     return np.array([
-        1.0, 0.0, kinds[2] / black, kinds[3] / black, kinds[4] / black, min(1.0, kinds[5] / n), kinds[6] / black,
-        kinds[7] / black, np.log1p(n) / 10, float(n < 20), black / n / 10, len(distinct) / n, counts.max() / n,
-        1 - len(np.unique(grams)) / len(grams), 1 - len(np.unique(windows)) / len(windows),
-        float((words[1:] == words[:-1]).mean()) if n > 1 else 0.0, min(1.0, lines.sum() / n)])
+        1.0, 0.0, min(1.0, 3 * kinds[2] / black), min(1.0, 3 * kinds[3] / black), min(1.0, 20 * kinds[4] / black), min(1.0, 3 * kinds[5] / n),
+        min(1.0, 3 * kinds[6] / black), kinds[7] / black, np.log1p(n) / 5, float(n < 20), min(3.0, black / n / 5), len(distinct) / n,
+        min(1.0, 5 * counts.max() / n), 1 - len(np.unique(grams)) / len(grams), 1 - len(np.unique(windows)) / len(windows),
+        min(1.0, 5 * float((words[1:] == words[:-1]).mean())) if n > 1 else 0.0, min(1.0, 5 * lines.sum() / n)])
 
 
 def _bucket(value: str | None, size: int) -> int:

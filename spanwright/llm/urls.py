@@ -39,7 +39,13 @@ LABELLED = (
     ("http://m.weather.example/de/63.html", 0), ("https://school.example/en/300", 0), ("http://www.museum.example.test/en/5", 0),
     ("https://thing.example/en/120", 0), ("http://blog.thetion.example/en/88", 0), ("https://m.onthe.example.test/es/19", 0),
     ("http://www.andthe.example/fr/31", 0), ("https://thether.example/de/54/", 0), ("http://inganer.example.test/en/66?page=2", 0),
-    ("https://travel.example/en/9", 0), ("http://recipes.example/es/140", 0), ("https://m.music.example/en/27.html", 0), ("http://docs.python.example/en/3", 0),
+    ("https://travel.example/en/9", 0), ("http://recipes.example/es/140", 0), ("https://m.music.example/en/27.html", 0), ("http://docs.manual.example/en/3", 0),
+    ("https://www.river.example.test/en/412.html", 0), ("http://m.forest.example.test/fr/9?page=2", 0), ("https://blog.castle.example.test/en/77", 0),
+    ("http://bridge.example.test/es/5/", 0), ("https://www.thanther.example/en/58", 0), ("http://m.thorent.example/de/12", 0),
+    ("https://blog.theand.example.test/fr/640.html", 0), ("http://ontheth.example.test/en/204", 0), ("https://www.erthing.example.test/es/31", 0),
+    ("http://station.example/en/15.html", 0), ("https://m.harbour.example.test/en/18/", 0), ("http://www.theater.example/fr/402", 0),
+    ("https://lythe.example.test/en/90", 0), ("http://blog.therest.example.test/de/7", 0), ("https://threth.example.test/en/39?ref=x", 0),
+    ("http://www.stone.example.test/en/266", 0),
 )
 
 
@@ -77,14 +83,15 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -
     one = rows.agg(F.sort_array(F.collect_list("r")).alias("rows"))
     gram = F.transform("rows", lambda a: F.transform(F.col("rows"), lambda b: F.size(F.array_intersect(a["b"], b["b"])) / F.sqrt(F.size(a["b"]) * F.size(b["b"]))))
 
-    def step(state: Column, _: Column) -> Column:
-        def of(entry: Column, k: Column) -> Column:
-            margin = F.aggregate(F.zip_with(F.col("gram")[k], state, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-            return F.get(state, k) * (1 - RATE * DECAY) + RATE * (entry["y"] - 1 / (1 + F.exp(-margin)))
-        return F.transform(F.col("rows"), of)
+    def learn(products: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            def of(entry: Column, k: Column) -> Column:
+                margin = F.aggregate(F.zip_with(F.get(products, k), state, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+                return F.get(state, k) * (1 - RATE * DECAY) + RATE * (entry["y"] - 1 / (1 + F.exp(-margin)))
+            return F.transform(F.col("rows"), of)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.transform("rows", lambda r: F.lit(0.0)), step)
 
-    learnt = one.select("rows", gram.alias("gram")).select(
-        "rows", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.transform("rows", lambda r: F.lit(0.0)), step).alias("alpha"))
+    learnt = one.select("rows", F.transform(F.array(gram), learn)[0].alias("alpha"))
     pairs = learnt.select(F.explode(F.arrays_zip("rows", "alpha")).alias("z")).select(
         F.explode("z.rows.b").alias("bucket"), (F.col("z.alpha") / F.sqrt(F.size("z.rows.b"))).alias("w"))
     weights = [0.0] * BUCKETS
