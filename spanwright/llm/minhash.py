@@ -11,10 +11,10 @@ a posting key. A pair of classes with at least `MATCHES` equal coordinates is a
   skipped and only read through the two signatures when collisions are counted;
 * candidates are confirmed on the full shingle sets.
 
-Long posting lists are not paired out. Each list proposes links to a few hubs, chosen by one hash
-order for all lists so that lists of one group propose the same pairs. Lists whose members have
-become connected are closed. Only members that are still in different components after
-the hub rounds are compared with each other, so no link between components is lost.
+Long posting lists are not paired out. Each list has a few hubs, the first members by hash orders that all
+lists share, and each class is compared with its first hub in each order. Lists whose members have become
+connected are closed. Then all pairs that open lists still hold across components are compared, so no link between
+components is lost; in a group of near copies these are the pairs with the few members that no hub is close to.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ from spanwright.session import durable
 COORDINATES = 64
 MATCHES = 33
 """A pair at similarity 0.8 has fewer equal coordinates with a probability below 1e-6."""
-HUBS = 4
-HUB_ROUNDS = 2
+HUBS = 16
 _COLUMNS = 4096
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -48,6 +47,11 @@ def signature(members: np.ndarray) -> np.ndarray:
     return (mix(low) >> U64(32)).astype(np.uint32).view(np.int32)
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """The lowest byte of each coordinate, eight to a 64-bit integer: equal coordinates stay equal."""
+    return (values.reshape(-1, COORDINATES) & 0xFF).astype(np.uint8).view("<i8").reshape(-1)
+
+
 def _shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     data, bounds = utf8(column)
@@ -67,7 +71,7 @@ def _digest(members: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_id, signature) per row; set_id and signature are null for an empty set."""
+    """(id, n_shingles, set_id, signature, packed) per row; all but the first two are null for an empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +81,15 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
             ends = np.cumsum([COORDINATES if len(s) else 0 for s in sets])
             empty = pa.array([len(s) == 0 for s in sets], pa.bool_())
             signed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
+            short = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends // 8)), pa.int32()), pa.array(packed(flat)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.compute.if_else(empty, pa.scalar(None, signed.type), signed)],
-                ["id", "n_shingles", "set_id", "signature"])
+                 *[pa.compute.if_else(empty, pa.scalar(None, v.type), v) for v in (signed, short)]],
+                ["id", "n_shingles", "set_id", "signature", "packed"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        each, f"id {kind}, n_shingles long, set_id binary, signature array<int>")
+        each, f"id {kind}, n_shingles long, set_id binary, signature array<int>, packed array<bigint>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -108,31 +113,41 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
 
 
 def posting_prefixes(classes: DataFrame) -> DataFrame:
-    """(token, rep): the values of each signature under which its class must be posted."""
-    tokens = classes.select("rep", F.posexplode("signature").alias("coordinate", "value")).select(
-        "rep", (F.shiftleft(F.col("coordinate").cast("long"), 32)
+    """(token, rep, n_shingles): the values of each signature under which its class must be posted."""
+    tokens = classes.select("rep", "n_shingles", F.posexplode("signature").alias("coordinate", "value")).select(
+        "rep", "n_shingles", (F.shiftleft(F.col("coordinate").cast("long"), 32)
                 + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    ordered = (tokens.join(shared, "token").groupBy("rep")
+    ordered = (tokens.join(shared, "token").groupBy("rep", "n_shingles")
                .agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
                .where(F.size("tokens") >= MATCHES))
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(MATCHES - 1))
-    return ordered.select("rep", F.explode(prefix).alias("t")).select("rep", F.col("t.token").alias("token"))
+    return ordered.select("rep", "n_shingles", F.explode(prefix).alias("t")).select("rep", "n_shingles", F.col("t.token").alias("token"))
 
 
 def _collisions(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+    """Equal bytes of two packed signatures, at least the number of equal coordinates."""
+    total = F.lit(COORDINATES)
+    for k in range(COORDINATES // 8):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):  # any bit of a byte into its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        total = total - F.bit_count(x)
+    return total
+
+
+def _colliding(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) with at least MATCHES collisions."""
+    for side in ("a", "b"):
+        pairs = pairs.join(signed.select(F.col("rep").alias(side), F.col("packed").alias("s" + side)).hint("merge"), side)
+    return pairs.where(_collisions("sa", "sb") >= MATCHES).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough collisions whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     for side in ("a", "b"):
-        pairs = pairs.join(signed.select(F.col("rep").alias(side), F.col("signature").alias("s" + side)), side)
-    pairs = pairs.where(_collisions("sa", "sb") >= MATCHES).select("a", "b")
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("members").alias("m" + side)), side)
-    common = F.size(F.array_intersect("ma", "mb"))
-    return (pairs.withColumn("common", common)
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("members").alias("m" + side)).hint("merge"), side)
+    return (pairs.withColumn("common", F.size(F.array_intersect("ma", "mb")))
             .where(F.col("common") * 100 >= (F.size("ma") + F.size("mb") - F.col("common")) * percent)
             .select("a", "b"))
 
@@ -141,44 +156,62 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, component) after adding the links (a, b): the smallest label reachable.
 
     Works on the components as nodes: each takes the smallest neighbour, then the label of that
-    label, until nothing changes. Each round is checkpointed.
+    label, until nothing changes. Each round is checkpointed. The joins are sort-merge joins by hint: the
+    many small broadcasts of a loop would pile up in the driver.
     """
-    named = [F.col("component").alias(c) for c in ("ca", "cb")]
-    edges = (links.join(labels.select(F.col("rep").alias("a"), named[0]), "a")
-             .join(labels.select(F.col("rep").alias("b"), named[1]), "b")
-             .where("ca <> cb").select("ca", "cb"))
+    named = [labels.select(F.col("rep").alias(side), F.col("component").alias("c" + side)).hint("merge") for side in ("a", "b")]
+    edges = links.join(named[0], "a").join(named[1], "b").where("ca <> cb").select("ca", "cb")
     edges = durable(edges.union(edges.select("cb", "ca")).distinct())
-    state = durable(edges.select(F.col("ca").alias("node"), F.col("ca").alias("low")).distinct())
-    while not state.isEmpty():
-        near = edges.join(state.select(F.col("node").alias("cb"), "low"), "cb").groupBy("ca").agg(F.min("low").alias("least"))
-        step = state.join(near, state["node"] == near["ca"]).select(
-            "node", F.col("low").alias("was"), F.least("low", "least").alias("low"))
-        up = step.select(F.col("node").alias("low"), F.col("low").alias("top"))
+    state = edges.select(F.col("ca").alias("node"), F.col("ca").alias("low")).distinct()
+    moved = 1
+    while moved:
+        near = (edges.join(state.select(F.col("node").alias("cb"), "low").hint("merge"), "cb")
+                .groupBy(F.col("ca").alias("node")).agg(F.min("low").alias("least")))
+        step = durable(state.join(near.hint("merge"), "node").select("node", F.col("low").alias("was"), F.least("low", "least").alias("low")))
+        up = step.select(F.col("node").alias("low"), F.col("low").alias("top")).hint("merge")
         after = durable(step.join(up, "low", "left").select("node", "was", F.coalesce(F.least("top", "low"), "low").alias("low")))
+        moved = after.where("was <> low").count()
         state = after.select("node", "low")
-        if after.where("was <> low").isEmpty():
-            break
-    moved = state.where("node <> low").select(F.col("node").alias("component"), "low")
-    return durable(labels.join(moved, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
+    moves = state.where("node <> low").select(F.col("node").alias("component"), "low").hint("merge")
+    return durable(labels.join(moves, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
+
+
+def _possible(percent: int) -> Column:
+    """Not ruled out by the sizes alone, and not connected yet."""
+    return (F.col("component") != F.col("component2")) & (
+        F.least("n_shingles", "n2") * 100 >= F.greatest("n_shingles", "n2") * percent)
 
 
-def _proposals(postings: DataFrame, labels: DataFrame, round_no: int | None) -> DataFrame:
-    """Candidate pairs (a, b) across components: to hubs, or all that are left when round_no is None."""
+def _hub_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of each class with its first possible hub in each of HUBS hash orders, over its open lists."""
     at = postings.join(labels, "rep")
-    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(HUBS * (round_no or 0) + k)).alias("h"), "rep", "component")).alias(f"hub{k}")
-            for k in range(HUBS)]
-    open_lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *hubs).where("lo < hi")
-    here = at.join(open_lists, "token")
-    if round_no is None:
-        here = here.select("token", "rep", "component")
-        other = here.select("token", F.col("rep").alias("rep2"), F.col("component").alias("component2"))
-        found = here.join(other, "token").where("component < component2").select("rep", "rep2")
-    else:
-        found = (here.select("rep", "component", F.explode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hub"))
-                 .where("component <> hub.component").select("rep", F.col("hub.rep").alias("rep2")))
+    orders = range(HUBS)
+    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("rep2"), F.col("component").alias("component2"),
+                           F.col("n_shingles").alias("n2"))).alias(f"hub{k}") for k in orders]
+    lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *hubs).where("lo < hi")
+    here = at.join(lists, "token")
+    first = here.groupBy("rep").agg(*[
+        F.min(F.when(_possible_hub(k, percent), F.col(f"hub{k}"))).alias(f"hub{k}") for k in orders])
+    found = first.select("rep", F.explode(F.array(*[F.col(f"hub{k}.rep2") for k in orders])).alias("rep2")).where("rep2 is not null")
     return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
+def _possible_hub(k: int, percent: int) -> Column:
+    hub = F.col(f"hub{k}")
+    return (F.col("component") != hub["component2"]) & (
+        F.least(F.col("n_shingles"), hub["n2"]) * 100 >= F.greatest(F.col("n_shingles"), hub["n2"]) * percent)
+
+
+def _all_pairs_left(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (a, b) across components that share a list."""
+    at = postings.join(labels, "rep")
+    lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    here = at.join(lists, "token")
+    other = here.select("token", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("n_shingles").alias("n2"))
+    found = here.join(other, "token").where("rep < rep2").where(_possible(percent))
+    return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of `docs`.
@@ -194,16 +227,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     rows = durable(signatures(docs, width, id_col, text_col))
     usable = F.col("id").isNotNull() & F.col("set_id").isNotNull()
-    classes = durable(rows.where(usable).groupBy("set_id").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")))
+    classes = durable(rows.where(usable).groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+                                                                F.first("signature").alias("signature"), F.first("packed").alias("packed")))
     # Two rows may share an id but not a text: their classes then have one representative and one set of links.
     postings = durable(posting_prefixes(classes))
     active = postings.select("rep").distinct()
-    signed = durable(classes.join(active, "rep"))
-    sets = durable(_full_sets(docs, signed.select("rep", "set_id"), width, id_col, text_col))
-    labels = durable(active.select("rep", F.col("rep").alias("component")))
-    for round_no in [*range(HUB_ROUNDS), None]:
-        links = _confirmed(_proposals(postings, labels, round_no), signed, sets, percent)
-        labels = connect(labels, links)
+    signed = durable(classes.select("rep", "set_id", "packed").join(active, "rep"))
+    labels = signed.select("rep", F.col("rep").alias("component"))
+    sets = None
+    for propose in (_hub_pairs, _all_pairs_left):
+        pairs = durable(_colliding(propose(postings, labels, percent), signed))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = wanted if sets is None else wanted.join(sets.select("rep"), "rep", "left_anti")
+        more = durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col))
+        sets = more if sets is None else sets.union(more)
+        labels = connect(labels, _confirmed(pairs, sets, percent))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return (rows.select("id", "n_shingles", "set_id").join(known, "set_id", "left")
