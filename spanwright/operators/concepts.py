@@ -125,3 +125,9 @@ def merge_touching(spans: DataFrame, by: list[str]) -> DataFrame:
     opened = spans.withColumn("_new", F.when(prior.isNull() | (F.col("s") > prior), 1).otherwise(0))
     run = opened.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(*by, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_run")
+
+
+def seen_at() -> Column:
+    """Place of a concept in first-seen order: documents in numeric order of their ids, other ids behind them."""
+    number = F.coalesce(F.col("doc_id").cast("string").try_cast("bigint"), F.lit((1 << 63) - 1))
+    return F.struct(number.alias("number"), "doc_id", "cid")

@@ -24,7 +24,6 @@ RRF_K = 60
 
 SALTS = 16          # slices of a hot posting list
 HOT_POSTINGS = 100_000
-PAD_POOL = 1_000
 
 
 def query_keys(mentions: DataFrame, norm: str = "norm") -> DataFrame:
@@ -122,16 +121,15 @@ def _score_join(terms: DataFrame, impacts: DataFrame) -> DataFrame:
 def _zero_fill(queries: DataFrame, scored: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
     """Lowest-ord entries without any query term, for queries with fewer than `depth` hits.
 
-    The pool has a fixed size: such a query blocks fewer than `depth` of its rows.
+    A query with m scored entries, of whatever sign, blocks at most m of the first `depth + m`.
     """
-    size = 2 * depth + PAD_POOL
+    hits = scored.groupBy("key").agg(F.count_if(F.col("score") > 0).alias("n"), F.count("*").alias("m"))
+    short = queries.select("key").join(hits, "key", "left").fillna(0, ["n", "m"]).filter(F.col("n") < depth)
+    size = depth + (short.agg(F.max("m")).first()[0] or 0)
     pool = (entries.select("ord").orderBy("ord").limit(size)
             .withColumn("slot", F.row_number().over(Window.orderBy("ord")) - 1))
-    hits = scored.groupBy("key").agg(F.count_if(F.col("score") > 0).alias("n"))
-    short = (queries.select("key").join(hits, "key", "left").fillna(0, ["n"])
-             .filter(F.col("n") < depth)
-             .select("key", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot")))
-    return (short.join(F.broadcast(pool), "slot").join(scored.select("key", "ord"), ["key", "ord"], "left_anti")
+    slots = short.select("key", F.explode(F.sequence(F.lit(0), (F.col("m") + depth - 1).cast("int"))).alias("slot"))
+    return (slots.join(pool, "slot").join(scored.select("key", "ord"), ["key", "ord"], "left_anti")
             .select("key", "ord", F.lit(0.0).alias("score")))
 
 

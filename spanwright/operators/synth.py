@@ -167,9 +167,10 @@ def prose_windows(wanted: DataFrame, docs: DataFrame, concepts: DataFrame, seed:
     placed = aimed.withColumn("whole", n <= target + 2).withColumn("raw", F.when(F.col("whole"), 0).otherwise(raw))
     a = F.when(F.col("whole"), 0).otherwise(
         F.col("raw") - F.length(F.substring_index(F.substring("text", F.lit(1), F.col("raw")), "\n", -1)))
-    after = F.substring(F.col("text"), F.col("raw") + target + 1, n)
-    b = F.when(F.col("whole"), n).otherwise(F.col("raw") + target + F.length(F.substring_index(after, "\n", 1)))
-    cut = placed.withColumn("a", a.cast("int")).withColumn("b", b.cast("int"))
+    lined = placed.withColumn("a", a.cast("int"))
+    after = F.substring(F.col("text"), F.col("a") + target + 1, n)  # the end is looked for from the moved start
+    b = F.when(F.col("whole"), n).otherwise(F.col("a") + target + F.length(F.substring_index(after, "\n", 1)))
+    cut = lined.withColumn("b", b.cast("int"))
     moved = let(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), lambda w: F.transform(
         F.filter("c", lambda x: (x["start"] >= w["a"]) & (x["end"] <= w["b"])),
         lambda x: F.struct(*[x[f].alias(f) for f in _POOL], (x["start"] - w["a"]).alias("start"),

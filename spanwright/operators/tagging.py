@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwright.functions.text import match_key
-from spanwright.operators.concepts import with_text
+from spanwright.operators.concepts import seen_at, with_text
 from spanwright.session import BROADCAST_BYTES, broadcast_if_small, measured_bytes
 
 HEAD = r"(?s)^(?:[\p{L}\p{N}]+|.)"
@@ -26,7 +26,7 @@ def fit_gazetteer(concepts: DataFrame) -> DataFrame:
     """
     votes = (concepts.withColumn("phrase", match_key(F.col("text"))).filter("phrase <> ''")
              .groupBy("phrase", "type")
-             .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "cid")).alias("first")))
+             .agg(F.count("*").alias("n"), F.min(seen_at()).alias("first")))
     return votes.groupBy("phrase").agg(
         F.min_by("type", F.struct(-F.col("n"), F.col("first"))).alias("type"),
         F.min("first").alias("rank"))
