@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.bpe import gather
+from spanwright.llm.words import groups, utf8
 
 MAGIC = b"TOKBITS1"
 BLOCK = 4096
 SHARD_IDS = 2_000_000
 CACHE_WORDS = 1_000_000
+PIECE_BYTES = 8 << 20
 _HEADER = struct.Struct("<8sBxxxIQ")
 
 
@@ -138,6 +140,12 @@ class Encoder:
         return np.diff(cuts) + 1, np.insert(gather(self.values, self.bounds, codes), cuts[1:], end)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker; what it remembers serves the next tasks too."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every row's whole text and write the file images to the folder `path`.
 
@@ -151,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         doc_ids, lengths, ids, held, before, shard = [], [], [], 0, 0, 0
 
         def cut() -> pa.RecordBatch:
@@ -161,8 +169,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                 ["part", "shard", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                piece = batch.slice(low, 256)
+            for low, high in groups(utf8(batch.column(1))[1], PIECE_BYTES):
+                piece = batch.slice(low, high - low)
                 n, found = encoder.encode(piece.column(1), end_id)
                 doc_ids += piece.column(0).to_pylist()
                 lengths.append(n)
