@@ -13,8 +13,10 @@ a posting key. A pair of classes with at least `MATCHES` equal coordinates is a
 
 Long posting lists are not paired out. Each list has a few hubs, the first members by hash orders that all
 lists share, and each class is compared with its first hub in each order. Lists whose members have become
-connected are closed. Then all pairs that open lists still hold across components are compared, so no link between
-components is lost; in a group of near copies these are the pairs with the few members that no hub is close to.
+connected are closed. What open lists still hold across components is settled without pairing lists out: the full
+sets of their classes are posted under the shingles by which a linked pair can first meet, from rare to frequent, so
+no link between components is lost and a group of near copies meets only in what few of its members share. These
+pairs too must have `MATCHES` collisions and are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -176,12 +178,6 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return durable(labels.join(moves, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
 
 
-def _possible(percent: int) -> Column:
-    """Not ruled out by the sizes alone, and not connected yet."""
-    return (F.col("component") != F.col("component2")) & (
-        F.least("n_shingles", "n2") * 100 >= F.greatest("n_shingles", "n2") * percent)
-
-
 def _hub_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of each class with its first possible hub in each of HUBS hash orders, over its open lists."""
     at = postings.join(labels, "rep")
@@ -202,14 +198,44 @@ def _possible_hub(k: int, percent: int) -> Column:
         F.least(F.col("n_shingles"), hub["n2"]) * 100 >= F.greatest(F.col("n_shingles"), hub["n2"]) * percent)
 
 
-def _all_pairs_left(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs (a, b) across components that share a list."""
+def _in_question(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep) of the classes in lists whose members are not all in one component."""
     at = postings.join(labels, "rep")
     lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    here = at.join(lists, "token")
-    other = here.select("token", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("n_shingles").alias("n2"))
-    found = here.join(other, "token").where("rep < rep2").where(_possible(percent))
-    return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    return at.join(lists, "token").select("rep").distinct()
+
+
+def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, rep, size, left, later) of the shingles by which a class can have its first shingle in common with another.
+
+    Shingles of one class only are left out; the others are ordered from rare to frequent. `left` is how many of them are
+    not before this one: no pair whose first common shingle it is has more in common. `later` says that this can
+    be enough for a partner of the same size or larger, not only for a smaller one.
+    """
+    flat = sets.select("rep", F.size("members").alias("size"), F.explode("members").alias("shingle"))
+    shared = flat.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("held")).where("held > 1")
+    ordered = (flat.join(shared, "shingle").groupBy("rep", "size")
+               .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("found"))
+               .where(F.size("found") * 100 >= F.col("size") * percent))
+    spent = F.floor((F.col("size") * percent + 99) / 100).cast("int")
+    placed = ordered.select("rep", "size", F.size("found").alias("k"), F.posexplode(
+        F.slice("found", F.lit(1), F.size("found") - spent + 1)).alias("at", "f"))
+    left = F.col("k") - F.col("at")
+    return placed.select(F.col("f.shingle").alias("shingle"), "rep", "size", left.alias("left"),
+                         (left * (100 + percent) >= F.col("size") * (2 * percent)).alias("later"))
+
+
+def _pairs_left(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components whose first common shingle leaves room for a link."""
+    at = prefixes.join(labels, "rep")
+    lists = at.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    here = durable(at.join(lists, "shingle"))
+    large = here.select("shingle", *[F.col(c).alias(c + "2") for c in ("rep", "size", "left", "component")])
+    room = F.least("left", "left2") * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
+    order = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("rep") < F.col("rep2")))
+    near = (F.col("component") != F.col("component2")) & (F.col("size") * 100 >= F.col("size2") * percent)
+    found = here.where("later").hint("merge").join(large, (here["shingle"] == large["shingle"]) & order & near & room)
+    return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -235,12 +261,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = durable(classes.select("rep", "set_id", "packed").join(active, "rep"))
     labels = signed.select("rep", F.col("rep").alias("component"))
     sets = None
-    for propose in (_hub_pairs, _all_pairs_left):
-        pairs = durable(_colliding(propose(postings, labels, percent), signed))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    for last in (False, True):
+        if last:
+            wanted = _in_question(postings, labels)
+        else:
+            pairs = durable(_colliding(_hub_pairs(postings, labels, percent), signed))
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         wanted = wanted if sets is None else wanted.join(sets.select("rep"), "rep", "left_anti")
         more = durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col))
         sets = more if sets is None else sets.union(more)
+        if last:
+            asked = sets.join(_in_question(postings, labels), "rep", "left_semi")
+            pairs = durable(_colliding(_pairs_left(set_prefixes(asked, percent), labels, percent), signed))
         labels = connect(labels, _confirmed(pairs, sets, percent))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
