@@ -35,7 +35,9 @@ from spanwright.session import durable
 COORDINATES = 64
 MATCHES = 33
 """A pair at similarity 0.8 has fewer equal coordinates with a probability below 1e-6."""
-HUBS = 16
+HUBS = 6
+SLOTS = 1 << 19
+"""Bound of the table of hashed ids by which texts are filtered before they are shuffled."""
 _COLUMNS = 4096
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -94,10 +96,17 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
         each, f"id {kind}, n_shingles long, set_id binary, signature array<int>, packed array<bigint>")
 
 
+def _slot(rep: str) -> Column:
+    return F.pmod(F.xxhash64(rep), F.lit(SLOTS)).cast("int")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, members) of the classes in `wanted` (rep, set_id), read again from the texts of their representatives."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    slots = wanted.select(_slot("rep").alias("slot")).distinct()
+    near = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null").withColumn("slot", _slot("rep"))
+    # At most SLOTS numbers go to all executors. More wanted texts than that only make this filter weaker.
+    texts = near.join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(wanted, "rep")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,23 +187,21 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return durable(labels.join(moves, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
 
 
-def _hub_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each class with its first possible hub in each of HUBS hash orders, over its open lists."""
-    at = postings.join(labels, "rep")
+def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of each class with its first possible hub in each of HUBS hash orders, over its lists."""
     orders = range(HUBS)
-    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("rep2"), F.col("component").alias("component2"),
-                           F.col("n_shingles").alias("n2"))).alias(f"hub{k}") for k in orders]
-    lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *hubs).where("lo < hi")
-    here = at.join(lists, "token")
-    first = here.groupBy("rep").agg(*[
-        F.min(F.when(_possible_hub(k, percent), F.col(f"hub{k}"))).alias(f"hub{k}") for k in orders])
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), *[
+        F.min(F.struct(F.hash("rep", F.lit(k)).alias("h"), F.col("n_shingles").alias("n2"), F.col("rep").alias("rep2"))).alias(f"hub{k}")
+        for k in orders]).where("held > 1").drop("held")
+    here = postings.join(lists, "token")
+    first = here.groupBy("rep").agg(*[F.min(F.when(_possible_hub(F.col(f"hub{k}"), percent), F.col(f"hub{k}"))).alias(f"hub{k}") for k in orders])
     found = first.select("rep", F.explode(F.array(*[F.col(f"hub{k}.rep2") for k in orders])).alias("rep2")).where("rep2 is not null")
     return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
-def _possible_hub(k: int, percent: int) -> Column:
-    hub = F.col(f"hub{k}")
-    return (F.col("component") != hub["component2"]) & (
+def _possible_hub(hub: Column, percent: int) -> Column:
+    """Another class, not ruled out by the sizes alone."""
+    return (F.col("rep") != hub["rep2"]) & (
         F.least(F.col("n_shingles"), hub["n2"]) * 100 >= F.greatest(F.col("n_shingles"), hub["n2"]) * percent)
 
 
@@ -253,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     rows = durable(signatures(docs, width, id_col, text_col))
     usable = F.col("id").isNotNull() & F.col("set_id").isNotNull()
-    classes = durable(rows.where(usable).groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+    classes = durable(rows.where(usable).groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").cast("int").alias("n_shingles"),
                                                                 F.first("signature").alias("signature"), F.first("packed").alias("packed")))
     # Two rows may share an id but not a text: their classes then have one representative and one set of links.
     postings = durable(posting_prefixes(classes))
@@ -265,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if last:
             wanted = _in_question(postings, labels)
         else:
-            pairs = durable(_colliding(_hub_pairs(postings, labels, percent), signed))
+            pairs = durable(_colliding(_hub_pairs(postings, percent), signed))
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         wanted = wanted if sets is None else wanted.join(sets.select("rep"), "rep", "left_anti")
         more = durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col))
