@@ -13,10 +13,10 @@ a posting key. A pair of classes with at least `MATCHES` equal coordinates is a
 
 Long posting lists are not paired out. Each list has a few hubs, the first members by hash orders that all
 lists share, and each class is compared with its first hub in each order. Lists whose members have become
-connected are closed. What open lists still hold across components is settled without pairing lists out: the full
-sets of their classes are posted under the shingles by which a linked pair can first meet, from rare to frequent, so
-no link between components is lost and a group of near copies meets only in what few of its members share. These
-pairs too must have `MATCHES` collisions and are confirmed on the full sets.
+connected are closed. What open lists still hold across components is settled exactly: short lists are paired out;
+the classes of long lists are posted by their full sets under the shingles by which a linked pair can first meet, from
+rare to frequent, so a group of near copies meets only in what few of its members share. All these pairs must have
+`MATCHES` collisions too and are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from spanwright.session import durable
 COORDINATES = 64
 MATCHES = 33
 """A pair at similarity 0.8 has fewer equal coordinates with a probability below 1e-6."""
-HUBS = 6
+HUBS = 10
+LONG = 64
+"""Open lists of more members are not paired out but settled by rare shingles; both ways are exact."""
 SLOTS = 1 << 19
 """Bound of the table of hashed ids by which texts are filtered before they are shuffled."""
 _COLUMNS = 4096
@@ -163,6 +165,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, component) after adding the links (a, b): the smallest label reachable.
 
@@ -205,11 +211,20 @@ def _possible_hub(hub: Column, percent: int) -> Column:
         F.least(F.col("n_shingles"), hub["n2"]) * 100 >= F.greatest(F.col("n_shingles"), hub["n2"]) * percent)
 
 
-def _in_question(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep) of the classes in lists whose members are not all in one component."""
+def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, rep, n_shingles, component, long) of the lists whose members are not all in one component."""
     at = postings.join(labels, "rep")
-    lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    return at.join(lists, "token").select("rep").distinct()
+    lists = (at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held"))
+             .where("lo < hi").select("token", (F.col("held") > LONG).alias("long")))
+    return at.join(lists, "token").select("token", "rep", "n_shingles", "component", "long")
+
+
+def _short_pairs(here: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (a, b) across components in lists of at most LONG members."""
+    other = here.select("token", *[F.col(c).alias(c + "2") for c in ("rep", "n_shingles", "component")])
+    near = F.least("n_shingles", "n_shingles2") * 100 >= F.greatest("n_shingles", "n_shingles2") * percent
+    found = here.join(other, "token").where("rep < rep2 and component <> component2").where(near)
+    return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
 def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -232,16 +247,16 @@ def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
                          (left * (100 + percent) >= F.col("size") * (2 * percent)).alias("later"))
 
 
-def _pairs_left(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _long_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components whose first common shingle leaves room for a link."""
     at = prefixes.join(labels, "rep")
     lists = at.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     here = durable(at.join(lists, "shingle"))
-    large = here.select("shingle", *[F.col(c).alias(c + "2") for c in ("rep", "size", "left", "component")])
+    large = here.select(*[F.col(c).alias(c + "2") for c in ("shingle", "rep", "size", "left", "component")])
     room = F.least("left", "left2") * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
     order = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("rep") < F.col("rep2")))
     near = (F.col("component") != F.col("component2")) & (F.col("size") * 100 >= F.col("size2") * percent)
-    found = here.where("later").hint("merge").join(large, (here["shingle"] == large["shingle"]) & order & near & room)
+    found = here.where("later").hint("merge").join(large, (F.col("shingle") == F.col("shingle2")) & order & near & room)
     return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
@@ -267,20 +282,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     active = postings.select("rep").distinct()
     signed = durable(classes.select("rep", "set_id", "packed").join(active, "rep"))
     labels = signed.select("rep", F.col("rep").alias("component"))
-    sets = None
-    for last in (False, True):
-        if last:
-            wanted = _in_question(postings, labels)
-        else:
-            pairs = durable(_colliding(_hub_pairs(postings, percent), signed))
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        wanted = wanted if sets is None else wanted.join(sets.select("rep"), "rep", "left_anti")
-        more = durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col))
-        sets = more if sets is None else sets.union(more)
-        if last:
-            asked = sets.join(_in_question(postings, labels), "rep", "left_semi")
-            pairs = durable(_colliding(_pairs_left(set_prefixes(asked, percent), labels, percent), signed))
-        labels = connect(labels, _confirmed(pairs, sets, percent))
+    pairs = durable(_colliding(_hub_pairs(postings, percent), signed))
+    sets = durable(_full_sets(docs, signed.select("rep", "set_id").join(_ends(pairs), "rep"), width, id_col, text_col))
+    labels = connect(labels, _confirmed(pairs, sets, percent))
+    still = durable(_open_lists(postings, labels))
+    pairs = durable(_colliding(_short_pairs(still.where("not long"), percent), signed))
+    crowd = still.where("long").select("rep").distinct()
+    wanted = _ends(pairs).union(crowd).distinct().join(sets.select("rep"), "rep", "left_anti")
+    sets = sets.union(durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col)))
+    more = _colliding(_long_pairs(set_prefixes(sets.join(crowd, "rep", "left_semi"), percent), labels, percent), signed)
+    labels = connect(labels, _confirmed(durable(pairs.union(more).distinct()), sets, percent))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return (rows.select("id", "n_shingles", "set_id").join(known, "set_id", "left")
