@@ -110,8 +110,10 @@ def plain_components(rows, width, percent):
     return {i: (len(sets[i]), root[i]) for i in sets}
 
 
+@pytest.mark.parametrize("long", [minhash.LONG, 0])
 @pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, prose, width):
+def test_near_duplicates(spark, prose, width, long, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG", long)  # 0: every open list is settled by rare shingles
     import random
 
     draw, rows = random.Random(width), []
