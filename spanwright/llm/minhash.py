@@ -39,7 +39,7 @@ HUBS = 10
 LONG = 64
 """Open lists of more members are not paired out but settled by rare shingles; both ways are exact."""
 SLOTS = 1 << 19
-"""Bound of the table of hashed ids by which texts are filtered before they are shuffled."""
+"""Bound of the table of hashed ids by which texts and sets are filtered before they are shuffled."""
 _COLUMNS = 4096
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -98,17 +98,19 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
         each, f"id {kind}, n_shingles long, set_id binary, signature array<int>, packed array<bigint>")
 
 
-def _slot(rep: str) -> Column:
-    return F.pmod(F.xxhash64(rep), F.lit(SLOTS)).cast("int")
+def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose `rep` may be in `wanted`, found without a shuffle; others may stay.
+
+    At most SLOTS numbers go to all executors. More wanted ids than that only make this filter weaker.
+    """
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).cast("int").alias("slot")
+    return rows.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, members) of the classes in `wanted` (rep, set_id), read again from the texts of their representatives."""
     kind = docs.schema[id_col].dataType.simpleString()
-    slots = wanted.select(_slot("rep").alias("slot")).distinct()
-    near = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null").withColumn("slot", _slot("rep"))
-    # At most SLOTS numbers go to all executors. More wanted texts than that only make this filter weaker.
-    texts = near.join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(wanted, "rep")
+    texts = _sifted(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null"), wanted).join(wanted, "rep")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +292,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     crowd = still.where("long").select("rep").distinct()
     wanted = _ends(pairs).union(crowd).distinct().join(sets.select("rep"), "rep", "left_anti")
     sets = sets.union(durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col)))
-    more = _colliding(_long_pairs(set_prefixes(sets.join(crowd, "rep", "left_semi"), percent), labels, percent), signed)
-    labels = connect(labels, _confirmed(durable(pairs.union(more).distinct()), sets, percent))
+    crowded = _sifted(sets, crowd).join(crowd, "rep", "left_semi")
+    more = _colliding(_long_pairs(set_prefixes(crowded, percent), labels, percent), signed)
+    pairs = durable(pairs.union(more).distinct())
+    labels = connect(labels, _confirmed(pairs, _sifted(sets, _ends(pairs)), percent))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return (rows.select("id", "n_shingles", "set_id").join(known, "set_id", "left")
