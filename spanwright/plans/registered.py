@@ -435,12 +435,13 @@ def hybrid_search(spark, sf):
     items = _passage_queries(spark, sf)
     entries = _bm25_entries(spark, sf)
     vectors = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    lexical = retrieval.bm25_search(retrieval.query_keys(items), entries, TOP_K)
-    keyed = items.select(F.md5(F.encode("norm", "UTF-8")).alias("key"), "item_id").join(vectors, F.col("item_id") == F.col("vec_id"))
+    keys = items.select(F.col("item_id").alias("key"), "norm")  # a vector belongs to the item, not to its text
+    lexical = retrieval.bm25_search(keys, entries, TOP_K)
+    keyed = keys.join(vectors, F.col("key") == F.col("vec_id"))
     dense = retrieval.dense_search(keyed.select("key", "vector"), entries.join(vectors, F.col("ord") == F.col("vec_id")), TOP_K)
     fused = retrieval.fuse([lexical, dense], TOP_K)
-    return items.select("item_id", F.md5(F.encode("norm", "UTF-8")).alias("key")).join(fused, "key").select(
-        "item_id", "rank", "code", F.round("score", 8).alias("score"))
+    return fused.select(
+        F.col("key").alias("item_id"), "rank", "code", F.round("score", 8).alias("score"))
 
 
 def _part_searchers(kb: DataFrame):
@@ -452,6 +453,11 @@ def _part_searchers(kb: DataFrame):
     return {t: make(t) for t in vocab.TYPES_WITH_CANDIDATES}
 
 
+def _one_per_document(mentions: DataFrame) -> DataFrame:
+    """Every mention as its own line of text, under the joined ids of its document and concept."""
+    return mentions.withColumn("doc_id", F.concat_ws(":", "doc_id", "cid"))
+
+
 def gate_logits():
     """Stand-in gate: two logits from the length of the input."""
     return lambda texts: np.array([[0.0, len(t) % 4 - 1.5] for t in texts])
@@ -473,11 +479,10 @@ best AS (SELECT type, norm, arg_min(code, (-score, ord)) AS code FROM qs JOIN kt
 def map_gated(spark, sf):
     kb = dv.part_kb(spark, sf)
     mentions = dv.part_mentions(spark, sf)
-    # every mention is its own line of text: the concept id is folded into the document id
-    own = mentions.withColumn("doc_id", F.col("doc_id") * 100 + F.col("cid"))
+    own = _one_per_document(mentions)
     docs = own.select("doc_id", "text")
     mapped = mapping.map_gated(docs, own, gate_logits, 0.5, kb=kb, searchers=_part_searchers(kb), topk=TOP_K)
-    return mapped.select(F.floor(F.col("doc_id") / 100).alias("doc_id"), "cid", _joined("candidates").alias("code"))
+    return mapped.select(F.split("doc_id", ":")[0].cast("long").alias("doc_id"), "cid", _joined("candidates").alias("code"))
 
 
 def last_code():
@@ -492,10 +497,10 @@ def last_code():
 @query("map_reranked")
 def map_reranked(spark, sf):
     kb = dv.part_kb(spark, sf)
-    own = dv.part_mentions(spark, sf).withColumn("doc_id", F.col("doc_id") * 100 + F.col("cid"))
+    own = _one_per_document(dv.part_mentions(spark, sf))
     prior = mapping.fit_prior(dv.order_gold(spark, sf))
     mapped = mapping.map_reranked(own.select("doc_id", "text"), own, kb, _part_searchers(kb), last_code, prior, topk=TOP_K)
-    return mapped.select(F.floor(F.col("doc_id") / 100).alias("doc_id"), "cid", _joined("candidates").alias("code"))
+    return mapped.select(F.split("doc_id", ":")[0].cast("long").alias("doc_id"), "cid", _joined("candidates").alias("code"))
 
 
 @query("gate_examples", o.q(o.INPUTS, f"SELECT doc_id, cid, input AS text, CAST(length(candidates) > 0 AS INT) AS label, type FROM inputs WHERE type IN {o.HAS_CODE}"))
