@@ -7,6 +7,10 @@ cut into `RADIUS + 1` blocks: two fingerprints within `RADIUS` bits agree in one
 table lookup per block finds all of them. Each find names an item and an aligned region of
 the document, whose shingles are then compared with the item's; a shingle weighs as much as its words are long.
 
+An edited word in the middle of an item lies in all of its windows and can move all fingerprints out of the
+radius. So the rarest shingles of each item are looked up as well, as many as weigh more than a similar region
+may lack: a region at `SIMILARITY` holds one of them at least, and all regions around such a find are weighed.
+
 Documents are never shuffled: the index of at most `ITEMS_PER_PASS` items travels to the tasks, and a
 larger benchmark is taken in several passes.
 """
@@ -60,18 +64,20 @@ def fingerprints(words: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, i
 
 @dataclass
 class Index:
-    """Fingerprints by window length, and the weighted shingles of each item."""
+    """Fingerprints by window length, the weighted shingles of each item with their first places, and the looked-up shingles."""
 
     item_ids: list
     n_words: list[int]
     members: list[np.ndarray]
     weights: list[np.ndarray]
+    places: list[np.ndarray]
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list]]
+    rare: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def build_index(items: list[tuple[object, str | None]]) -> Index:
     """Index of items (id, text). A shingle weighs as many bytes as its words have."""
-    ids, counts, members, weights = [], [], [], []
+    ids, counts, members, weights, places = [], [], [], [], []
     found: dict[int, list[tuple[int, int, int]]] = {}
     for item_id, text in items:
         data, bounds = utf8(pa.array([text], pa.string()))
@@ -83,6 +89,7 @@ def build_index(items: list[tuple[object, str | None]]) -> Index:
         ids.append(item_id)
         counts.append(len(words))
         members.append(own)
+        places.append(first)
         weights.append(np.convolve(ends - starts, np.ones(min(SHINGLE, len(words))), "valid")[first])
         length = size_class(len(words))
         last = len(words) - length
@@ -99,7 +106,29 @@ def build_index(items: list[tuple[object, str | None]]) -> Index:
             present[block] = True
             blocks.append((present, block[order], order))
         by_length[length] = (prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), blocks)
-    return Index(ids, counts, members, weights, by_length)
+    return Index(ids, counts, members, weights, places, by_length, _rare(counts, members, weights))
+
+
+def _rare(counts: list[int], members: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table of their low bits, hashes in order, item of each) of the shingles looked up for items of SHINGLE words or more.
+
+    Per item the shingles in the fewest items, until they weigh more than a region at SIMILARITY may lack. Shorter items
+    need none: a copy has the very fingerprint of the item.
+    """
+    longer = [k for k, n in enumerate(counts) if n >= SHINGLE]
+    every, number = np.unique(np.concatenate([members[k] for k in longer] or [np.zeros(0, U64)]), return_counts=True)
+    hashes, items = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for k in longer:
+        order = np.lexsort((members[k], number[np.searchsorted(every, members[k])]))
+        weight = np.cumsum(weights[k][order])
+        n = int(np.searchsorted(weight, (1 - SIMILARITY) * weight[-1] + 1e-6, "right")) + 1
+        hashes.append(members[k][order[:n]])
+        items.append(np.full(len(hashes[-1]), k))
+    keys, owners = np.concatenate(hashes), np.concatenate(items)
+    order = np.argsort(keys, kind="stable")
+    table = np.zeros(1 << max(10, (16 * len(keys)).bit_length()), bool)
+    table[(keys & U64(len(table) - 1)).astype(np.int64)] = True
+    return table, keys[order], owners[order]
 
 
 def _near(prints: np.ndarray, entry: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +159,41 @@ def _similarity(words: np.ndarray, start: int, index: Index, item: int) -> float
     return float(index.weights[item][inside].sum() / index.weights[item].sum())
 
 
+def _rare_hits(found: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(position, item) of the looked-up shingles among those of a group of rows."""
+    table, keys, owners = index.rare
+    at = np.flatnonzero(table[(found & U64(len(table) - 1)).astype(np.int64)])
+    low = np.searchsorted(keys, found[at], "left")
+    n = np.searchsorted(keys, found[at], "right") - low
+    return np.repeat(at, n), owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _best_region(found: np.ndarray, start: int, index: Index, item: int) -> tuple[float, int] | None:
+    """(similarity, first word) of the best item-sized region among a row's shingles from `start` on, if it is similar.
+
+    Of equal regions, the first that begins with a shingle of the item or has one in its place in the item.
+    """
+    members, weights = index.members[item], index.weights[item]
+    which = np.minimum(np.searchsorted(members, found), len(members) - 1)
+    at = np.flatnonzero(members[which] == found)
+    which, total = which[at], weights.sum()
+    if weights[np.unique(which)].sum() / total < SIMILARITY:
+        return None
+    reach = index.n_words[item] - SHINGLE
+    order = np.argsort(which, kind="stable")
+    before = np.full(len(at), -reach - 1)  # the shingle's place before, so that a region counts it once
+    again = which[order][1:] == which[order][:-1]
+    before[order[1:][again]] = at[order[:-1][again]]
+    sums = np.zeros(len(found) + reach + 2)  # weights of the regions from -reach on
+    np.add.at(sums, np.maximum(before + 1, at - reach) + reach, weights[which])
+    np.subtract.at(sums, at + reach + 1, weights[which])
+    sums = np.cumsum(sums)
+    first = np.unique(np.concatenate((at, np.maximum(at - index.places[item][which], max(-start, -reach)))))
+    best = int(first[np.argmax(sums[first + reach])])
+    score = float(sums[best + reach] / total)
+    return (score, start + best) if score >= SIMILARITY else None
+
+
 def leaks(words: np.ndarray, cuts: np.ndarray, index: Index) -> dict[tuple[int, int], tuple[float, int]]:
     """(row, item) -> (similarity, first word) of the passages found in rows of words."""
     best: dict[tuple[int, int], tuple[float, int]] = {}
@@ -149,9 +213,36 @@ def leaks(words: np.ndarray, cuts: np.ndarray, index: Index) -> dict[tuple[int,
             score = _similarity(words[cuts[r]:cuts[r + 1]], start, index, item)
             if score >= SIMILARITY and (-score, max(0, start)) < best.get((r, item), (0.0, 0)):
                 best[r, item] = (-score, max(0, start))
+    for r, item, start, score in _around_rare(words, cuts, index):
+        if (-score, start) < best.get((r, item), (0.0, 0)):
+            best[r, item] = (-score, start)
     return {pair: (-score, start) for pair, (score, start) in best.items()}
 
 
+def _around_rare(words: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, float]]:
+    """(row, item, first word, similarity) of the best regions around looked-up shingles."""
+    if len(words) < SHINGLE:
+        return
+    found = shingles(words, SHINGLE)
+    at, item = _rare_hits(found, index)
+    row = np.searchsorted(cuts, at, "right") - 1
+    inside = at + SHINGLE <= cuts[row + 1]
+    row, item, at = row[inside], item[inside], at[inside]
+    if not len(at):
+        return
+    order = np.lexsort((at, item, row))
+    row, item, at = row[order], item[order], at[order]
+    reach = np.array(index.n_words, np.int64)[item] - SHINGLE
+    new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(at, prepend=-1) > 2 * reach))
+    for low, high in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
+        r, k = int(row[low]), int(item[low])
+        begin = max(int(cuts[r]), int(at[low] - reach[low]))
+        end = min(int(cuts[r + 1]) - SHINGLE, int(at[high - 1] + reach[low])) + 1
+        best = _best_region(found[begin:end], begin - int(cuts[r]), index, k)
+        if best is not None:
+            yield r, k, best[1], best[0]
+
+
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple]]:
     rows = benchmark.select(item_col, text_col).where(F.col(item_col).isNotNull()).toLocalIterator()
     while part := [tuple(r) for r in islice(rows, size)]:

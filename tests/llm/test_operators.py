@@ -155,6 +155,40 @@ def test_decontamination(spark, prose, docs, empty):
     assert decontam.contaminated(empty, bench).count() == decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_leaks(texts, items):
+    """(row, item) of every item-sized region at 0.8, all regions of all texts tried."""
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    grams = lambda w: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    weigh = lambda found: sum(len("".join(g).encode()) for g in found)
+    out = {}
+    for i, item in enumerate(items):
+        own = grams(cut(item))
+        for r, words in enumerate(map(cut, texts)):
+            n = len(cut(item))
+            score, start = max((weigh(own & grams(words[s:s + n])) / weigh(own), -s) for s in range(len(words)))
+            if score >= 0.8:
+                out[r, i] = (score, -start)
+    return out
+
+
+def test_decontamination_finds_one_edit_at_every_position(prose):
+    sizes = (5, 7, 12, 20, 27, 33, 40, 59)
+    items = [prose(n, 800 + n) for n in sizes] + ["up and down " * 9 + prose(12, 810)]
+    texts = []
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in range(len(words)):
+            for edited in (["edited"], ["edited", words[at]], []):
+                texts.append(" ".join([prose(9, 5000 + k), *words[:at], *edited, *words[at + 1:], prose(9, 6000 + k)]))
+        texts += [" ".join(words[len(words) // 2:] + words[:len(words) // 2]), item, f"{item} {prose(30, 7000 + k)} {item}"]
+    data, bounds = utf8(pa.array(texts))
+    rows, words = word_hashes(data, bounds, NOT_WORD)
+    got = decontam.leaks(words, np.searchsorted(rows, np.arange(len(texts) + 1)), decontam.build_index(list(enumerate(items))))
+    expected = plain_leaks(texts, items)
+    assert set(got) == set(expected) and len(got) > len(texts) // 2
+    assert all(abs(got[pair][0] - expected[pair][0]) < 1e-12 for pair in got)
+
+
 def test_fingerprints_within_the_radius_are_found():
     draw = np.random.default_rng(3)
     known = draw.integers(0, 2**63, 200, dtype=np.uint64)
