@@ -1,7 +1,7 @@
 """Secrets in texts, also behind layers of encoding.
 
 A worklist per text starts with the text itself. Each layer is scanned; its encoded runs (percent
-codes, backslash-u codes, base64, and compressed data inside base64) are unwrapped in place, which gives
+codes, backslash-u codes, base64, also between slashes, dashes or the like, and compressed data inside base64) are unwrapped in place, which gives
 the next layer, until nothing is left to unwrap or a layer comes back (a cycle). Each step keeps the way
 back from places inside to places outside, so a find in any layer gets a span of the text.
 """
@@ -14,7 +14,7 @@ import gzip
 import re
 import urllib.parse
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +32,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _CODE = re.compile(r"\\u([0-9A-Fa-f]{4})")
-_ONE_SORT = re.compile(r"[0-9a-f]+|[0-9A-F]+|[A-Za-z]+|[0-9]+")
+_GLUE = re.compile(r"[+/_-]")
+LEAST = 16
+"""Characters of the shortest base64 run, or part of one, that is unwrapped."""
 
 Span = tuple[int, int, str]
 
@@ -61,9 +63,19 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
+def _standard(run: str) -> str:
+    return run.rstrip("=").replace("-", "+").replace("_", "/")
+
+
+def _bytes(body: str) -> bytes:
+    """Bytes of base64 without padding, less the last character if it makes no byte."""
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
 def _from_base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1 or _ONE_SORT.fullmatch(body):  # a word, a number or a hash
+    body = _standard(run)
+    if len(body) % 4 == 1:
         return None
     try:
         return _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
@@ -71,6 +83,77 @@ def _from_base64(run: str) -> str | None:
         return None
 
 
+def _packed_end(body: str, start: int) -> int | None:
+    """Bytes of the compressed data that base64 begins with at `start`; null if it is none or not whole."""
+    for wbits, magic in ((31, b"\x1f\x8b"), (15, b"\x78")):
+        if _bytes(body[start:start + 4]).startswith(magic):
+            unpack, used = zlib.decompressobj(wbits), 0
+            try:
+                for low in range(start, len(body), 4096):
+                    raw = _bytes(body[low:low + 4096])
+                    unpack.decompress(raw)
+                    used += len(raw)
+                    if unpack.eof:
+                        return used - len(unpack.unused_data)
+            except zlib.error:
+                pass
+    return None
+
+
+def _text_end(body: str, start: int) -> int:
+    """Bytes of text (UTF-8) that base64 begins with at `start`."""
+    size = 64
+    while True:
+        raw = _bytes(body[start:start + size])
+        try:
+            good = len(raw.decode("utf-8").encode())
+        except UnicodeDecodeError as error:
+            good = error.start
+        if good < len(raw) - 3 or start + size >= len(body):
+            return good
+        size *= 4
+
+
+def _parts(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, inner text) of the parts of a run that decode, from one of `+/_-` to another, leftmost and longest first.
+
+    Text never begins with one of them, as no UTF-8 does; it may hold and end with them.
+    """
+    body = _standard(run)
+    glue = [m.start() for m in _GLUE.finditer(body)]
+    ends = sorted({*glue, *(g + 1 for g in glue), len(body)})
+    at = 0
+    for start in (0, *(g + 1 for g in glue)):
+        if start < at or len(body) - start < LEAST:
+            continue
+        packed = _packed_end(body, start)
+        if packed is not None:
+            some = ends[bisect_left(ends, start + -(-packed * 4 // 3)):][:1]
+        else:
+            good = _text_end(body, start)
+            some = ends[bisect_left(ends, start + LEAST):bisect_right(ends, start + (good * 8 + 7) // 6)][::-1]
+        for end in some:
+            inner = _from_base64(body[start:end])
+            if inner is None:
+                continue
+            if end < len(body) and body[end - 1] in "+/" and end - 1 - start >= LEAST:  # glue, if all ends well without it
+                shorter = _from_base64(body[start:end - 1])
+                if shorter is not None and base64.b64encode(_bytes(body[start:end - 1])).decode().rstrip("=") == body[start:end - 1]:
+                    inner, end = shorter, end - 1
+            at = len(run) if end == len(body) else end
+            yield start, at, inner
+            break
+
+
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in BASE64.finditer(text):
+        inner = _from_base64(m[0])
+        if inner is not None:
+            yield m.start(), m.end(), inner
+        elif _GLUE.search(m[0]):
+            yield from ((m.start() + start, m.start() + end, part) for start, end, part in _parts(m[0]))
+
+
 def _from_percent(run: str) -> str | None:
     try:
         return urllib.parse.unquote(run, errors="strict")
@@ -85,7 +168,7 @@ def _from_escapes(run: str) -> str:
 
 def encoded_runs(text: str) -> list[tuple[int, int, str]]:
     """(start, end, inner text) of the encoded runs of a layer, leftmost first and without overlap."""
-    runs = [(m.start(), m.end(), _from_base64(m[0])) for m in BASE64.finditer(text)]
+    runs = list(_base64_runs(text))
     if "%" in text:
         runs += [(m.start(), m.end(), _from_percent(m[0])) for m in PERCENT.finditer(text)]
     if "\\u" in text:
