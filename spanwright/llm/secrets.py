@@ -48,7 +48,7 @@ def scan(text: str) -> list[Span]:
 
 
 def _readable(raw: bytes) -> str | None:
-    """The text in unwrapped bytes, decompressed if need be; null if it is no text."""
+    """The text in unwrapped bytes, decompressed if need be; null if it is empty or no UTF-8. Any character may occur in it."""
     for magic, unpack in ((b"\x1f\x8b", gzip.decompress), (b"\x78", zlib.decompress)):
         if raw.startswith(magic):
             try:
@@ -57,10 +57,9 @@ def _readable(raw: bytes) -> str | None:
                 pass
             break
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8") or None
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
 def _standard(run: str) -> str:

@@ -247,6 +247,16 @@ def test_secrets_of_random_keys_alone_and_between_glue():
     assert secrets.find_secrets(words) == ([], [])
 
 
+@pytest.mark.parametrize("odd", ["\xa0", "\u3000", "\xad", "\u200b", "👩\u200d💻", "\u2028", "\ufeff", "\f", "\0", "\x1b[0m"])
+def test_secrets_in_layers_with_unprintable_characters(odd):
+    packs = {"base64": base64.b64encode, "gzip": lambda b: base64.b64encode(gzip.compress(b, mtime=0)), "zlib": lambda b: base64.b64encode(zlib.compress(b))}
+    secret = f'{odd}été{odd} password: "hunter2hunter2" {odd}'
+    for outer in packs.values():
+        for inner in packs.values():
+            run = outer(f"{odd}漢字 {inner(secret.encode()).decode()} {odd}".encode()).decode()
+            assert secrets.find_secrets(f"a {run} b")[1] == [(2, 2 + len(run), "assign")]
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 32])
 def test_bits_round_trip(width):
     values = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64)
