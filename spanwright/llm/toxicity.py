@@ -1,14 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words and their beginnings (letters, digits and non-ASCII characters, lower-cased), hashed
-into `BUCKETS`. From a bounded sample of labelled documents the terms that tell most are chosen,
-and a factorization machine learns a weight for each and a vector for each, whose products weigh
-pairs of terms: an insult next to a group mention can count for more than both alone. The model is a
-few arrays of fixed size; every document is then scored whole, in one pass without a shuffle.
+into `BUCKETS`. From a bounded sample of labelled documents a factorization machine learns a weight for
+every bucket seen in it and a vector for each, whose products weigh pairs of terms: an insult next to a
+group mention can count for more than both alone, also if neither tells anything by itself. Terms that tell
+much by themselves are learnt faster than the many that do not, which would be learnt by heart otherwise.
+The model is a few arrays of fixed size; every document is then scored whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,107 +23,107 @@ from spanwright.llm.words import NOT_WORD, U64, groups, utf8, word_parts
 from spanwright.session import durable
 
 BUCKETS = 1 << 18
-TERMS = 512
 RANK = 4
 SAMPLE = 10_000
 """At most so many labelled documents are learnt from, chosen by a hash of their id."""
 PREFIXES = (4, 5, 6, 7)
 """Bytes of the word beginnings that count as terms beside the whole word."""
+FULL = 30
+"""Chi-square of presence against the label from which a term is learnt at full rate."""
+FLOOR = 0.05
+"""Share of the full rate at which every other term is learnt at least."""
 
 
 @dataclass
 class Machine:
-    """score = sigmoid(bias + w.x + sum over pairs of <v_i, v_j> x_i x_j), x = log(1 + count) of the terms."""
+    """score = sigmoid(bias + w.x + sum over pairs of <v_i, v_j> x_i x_j), x = log(1 + count) of the buckets."""
 
-    slot: np.ndarray
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        pairs = ((x @ self.vectors) ** 2 - (x ** 2) @ (self.vectors ** 2)).sum(axis=1) / 2
-        return 1 / (1 + np.exp(-np.clip(self.bias + x @ self.weights + pairs, -30, 30)))
+    def scores(self, n: int, rows: np.ndarray, buckets: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Scores of n rows, given the row, bucket and x of each term; the same for equal rows in any company."""
+        vectors = self.vectors[buckets]
+        total = self.bias + np.bincount(rows, self.weights[buckets] * x, n) - np.bincount(rows, (vectors ** 2).sum(axis=1) * x ** 2, n) / 2
+        for k in range(RANK):
+            total += np.bincount(rows, vectors[:, k] * x, n) ** 2 / 2
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row of each term, bucket of each term) by groups of rows."""
+def _counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row of each term, its bucket, log(1 + count)) by groups of rows, each bucket once a row."""
+    at, n, keys, counts = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def counted() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return n, keys // BUCKETS, keys % BUCKETS, np.log1p(counts)
+
     data, bounds = utf8(column)
     for low, high in groups(bounds):
+        if at is not None:
+            yield counted()
+        at, n, keys, counts = low, high - low, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for rows, hashes in word_parts(data[bounds[low]:bounds[high]], bounds[low:high + 1] - bounds[low], NOT_WORD, PREFIXES):
-            yield low, high - low, rows, (hashes & U64(BUCKETS - 1)).astype(np.int64)
-
-
-def _dense(column: pa.Array, slot: np.ndarray, n_terms: int) -> Iterator[np.ndarray]:
-    """log(1 + count) of the chosen terms, rows in order."""
-    counts, at = None, None
-    for low, n, rows, buckets in _terms(column):
-        if at != low:
-            if counts is not None:
-                yield np.log1p(counts)
-            counts, at = np.zeros((n, n_terms), np.float32), low
-        chosen = slot[buckets]
-        known = chosen >= 0
-        counts += np.bincount(rows[known] * n_terms + chosen[known], minlength=n * n_terms).reshape(n, n_terms).astype(np.float32)
-    if counts is not None:
-        yield np.log1p(counts)
-
-
-def _chosen_terms(sample: DataFrame) -> np.ndarray:
-    """Slot of each bucket among the TERMS with the largest chi-square of presence against the label, else -1."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, BUCKETS), np.int64)
-        n = [0, 0]
-        for batch in batches:
-            labels = batch.column(0).to_numpy()
-            for k in (0, 1):
-                n[k] += int((labels == k).sum())
-            pending: dict[int, list[np.ndarray]] = {}
-            for low, _, rows, buckets in _terms(batch.column(1)):
-                pending.setdefault(low, []).append(rows * BUCKETS + buckets)
-            for low, parts in pending.items():
-                present = np.unique(np.concatenate(parts))
-                label = labels[low + present // BUCKETS]
-                for k in (0, 1):
-                    held[k] += np.bincount(present[label == k] % BUCKETS, minlength=BUCKETS)
-        seen = np.flatnonzero(held.sum(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((seen, [-1]))), pa.array(np.concatenate((held[0][seen], n[:1]))), pa.array(np.concatenate((held[1][seen], n[1:])))],
-            ["bucket", "clean", "toxic"])
-
-    sums = durable(sample.select("label", "text").mapInArrow(each, "bucket long, clean long, toxic long")
-                   .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    total = sums.where("bucket = -1").first()
-    slot = np.full(BUCKETS, -1, np.int32)
-    if total is None or not total.clean or not total.toxic:
-        return slot
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    c, d = F.lit(float(total.toxic)) - a, F.lit(float(total.clean)) - b
-    chi = (a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d) + 1e-9)
-    best = sums.where("bucket >= 0 and clean + toxic >= 3").orderBy(chi.desc(), "bucket").limit(TERMS).select("bucket").collect()
-    slot[[r.bucket for r in best]] = np.arange(len(best))
-    return slot
-
-
-def _fit(x: np.ndarray, y: np.ndarray, slot: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Machine:
-    """Full-batch Adam on the log loss; deterministic for equal samples."""
-    n_terms = int(slot.max()) + 1
-    draw = np.random.default_rng(7)
+            found, number = np.unique(rows * BUCKETS + (hashes & U64(BUCKETS - 1)).astype(np.int64), return_counts=True)
+            if len(keys):
+                found, inverse = np.unique(np.concatenate((keys, found)), return_inverse=True)
+                number = np.bincount(inverse, np.concatenate((counts, number))).astype(np.int64)
+            keys, counts = found, number
+    if at is not None:
+        yield counted()
+
+
+def _rates(buckets: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of the full rate of each bucket, by the chi-square of its presence; 0 if it was not seen."""
+    held = np.zeros((2, BUCKETS))
+    for low in range(0, len(y), 256):
+        label = np.repeat(y[low:low + 256], np.diff(cuts[low:low + 257]))
+        part = buckets[cuts[low]:cuts[min(low + 256, len(y))]]
+        for k in (0, 1):
+            held[k] += np.bincount(part[label == k], minlength=BUCKETS)
+    b, a = held
+    toxic, n = float(y.sum()), a + b
+    clean = len(y) - toxic
+    chi = len(y) * (a * (clean - b) - b * (toxic - a)) ** 2 / (n * (len(y) - n) * toxic * clean + 1e-9)
+    return np.where(n > 0, np.clip(chi / FULL, FLOOR, 1), 0)
+
+
+def _fit(buckets: np.ndarray, x: np.ndarray, cuts: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.05,
+         decay: float = 1e-4) -> Machine:
+    """Sparse AdaGrad on the log loss, a batch of documents at a time; deterministic for equal samples."""
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    flat = np.concatenate(([np.log(share / (1 - share))], np.zeros(n_terms), draw.normal(0, 0.01, n_terms * RANK)))
-    machine = lambda p: Machine(slot, float(p[0]), p[1:n_terms + 1].astype(np.float32), p[n_terms + 1:].reshape(n_terms, RANK).astype(np.float32))
-    if not n_terms or not len(y):
-        return machine(flat)
-    squares, first, second = x ** 2, np.zeros_like(flat), np.zeros_like(flat)
-    for step in range(1, steps + 1):
-        m = machine(flat)
-        g = (m.scores(x) - y) / len(y)
-        inner = x @ m.vectors
-        by_vector = x.T @ (g[:, None] * inner) - (squares.T @ g)[:, None] * m.vectors
-        grad = np.concatenate(([g.sum()], x.T @ g + decay * m.weights, (by_vector + decay * m.vectors).reshape(-1)))
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
-        flat = flat - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
-    return machine(flat)
+    bias, n = np.log(share / (1 - share)), len(y)
+    if not 0 < y.sum() < n:
+        return Machine(float(bias), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32))
+    draw = np.random.default_rng(7)
+    rates = _rates(buckets, cuts, y).astype(np.float32)
+    flat = np.concatenate((np.zeros((BUCKETS, 1)), draw.normal(0, 0.01, (BUCKETS, RANK))), axis=1).astype(np.float32)
+    squares, bias_squares = np.full(flat.shape, 1e-8, np.float32), 1e-8
+    for _ in range(epochs):
+        order = draw.permutation(n)
+        for low in range(0, n, batch):
+            docs = order[low:low + batch]
+            sizes = cuts[docs + 1] - cuts[docs]
+            ends = np.cumsum(sizes)
+            rows = np.repeat(np.arange(len(docs)), sizes)
+            at = np.repeat(cuts[docs] - ends + sizes, sizes) + np.arange(len(rows))
+            known, inverse = np.unique(buckets[at], return_inverse=True)
+            part = flat[known]
+            scaled = (x[at] * rates[buckets[at]])[:, None]
+            terms = part[inverse] * scaled
+            sums = np.stack([np.bincount(rows, terms[:, k], len(docs)) for k in range(1 + RANK)], axis=1)
+            own = np.bincount(rows, (terms[:, 1:] ** 2).sum(axis=1), len(docs))
+            total = bias + sums[:, 0] + ((sums[:, 1:] ** 2).sum(axis=1) - own) / 2
+            miss = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y[docs]) / len(docs)
+            by_weight = miss[rows][:, None] * scaled
+            slopes = np.concatenate((by_weight, by_weight * (sums[rows, 1:] - terms[:, 1:])), axis=1)
+            grad = np.stack([np.bincount(inverse, slopes[:, k], len(known)) for k in range(1 + RANK)], axis=1) + decay * part
+            squares[known] += grad ** 2
+            flat[known] = part - rate * grad / np.sqrt(squares[known])
+            bias_squares += miss.sum() ** 2
+            bias -= rate * miss.sum() / np.sqrt(bias_squares)
+    flat *= rates[:, None]
+    return Machine(float(bias), flat[:, 0].copy(), flat[:, 1:].copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -135,29 +137,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = durable(texts.join(F.broadcast(picked), "id"))  # at most `sample` pairs of numbers
-    slot = _chosen_terms(rows)
-    n_terms = int(slot.max()) + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate(list(_dense(batch.column(2), slot, n_terms)) or [np.zeros((0, n_terms), np.float32)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
+            found: list[tuple[bytes, bytes]] = []
+            for n, at, buckets, x in _counted(batch.column(2)):
+                cuts = np.searchsorted(at, np.arange(n + 1))
+                found += [(buckets[a:b].astype(np.int32).tobytes(), x[a:b].astype(np.float32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))],
+                                             ["id", "label", "buckets", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("id", "label", "text").mapInArrow(each, f"id {kind}, label int, x binary").orderBy("id", "x").limit(sample).toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, n_terms)
-    return _fit(x, got.column("label").to_numpy().astype(np.float32), slot)
+    got = rows.select("id", "label", "text").mapInArrow(each, f"id {kind}, label int, buckets binary, x binary").orderBy("id", "buckets", "x").limit(sample)
+    with tempfile.TemporaryFile() as places, tempfile.TemporaryFile() as values:  # the driver's own, read a batch at a time
+        y, sizes = [], [0]
+        for r in got.select("label", "buckets", "x").toLocalIterator():
+            y.append(r.label)
+            sizes.append(len(r.x) // 4)
+            places.write(r.buckets)
+            values.write(r.x)
+        places.flush()
+        values.flush()
+        cuts = np.cumsum(sizes)
+        arrays = [np.memmap(f, t, "r") if cuts[-1] else np.zeros(0, t) for f, t in ((places, np.int32), (values, np.float32))]
+        return _fit(*arrays, cuts, np.array(y, np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """`docs` without the text, with a double column `score` between 0 and 1. Null and empty texts have no terms."""
     kept = [c for c in docs.columns if c not in (text_col, "score")]
     schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
-    n_terms = int(machine.slot.max()) + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [machine.scores(x) for x in _dense(batch.column(len(kept)), machine.slot, n_terms)]
+            found = [machine.scores(*group) for group in _counted(batch.column(len(kept)))]
             values = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], [*kept, "score"])
 

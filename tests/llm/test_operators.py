@@ -336,6 +336,21 @@ def test_toxicity_learns_pairs(spark, prose, docs, empty):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5} and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_learns_a_label_that_only_pairs_carry(spark, prose):
+    """Each of the four words is as frequent in toxic as in clean texts."""
+    def made(first, last):
+        for i in range(first, last):
+            a, b = i % 2, i // 2 % 2
+            yield i, " ".join([prose(20, 20_000 + i), ("grumblefoot", "pleasantly")[a], ("marshfolk", "hillpeople")[b]]), int(a == b)
+
+    rows, probe = list(made(0, 2000)), list(made(2000, 2200))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(frame.drop("toxic"), frame.drop("text"))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(probe, "doc_id long, text string, toxic int").drop("toxic"), machine).collect()}
+    assert sum((got[i] > 0.5) == toxic for i, _, toxic in probe) >= 180
+    assert (machine.weights != 0).sum() > 512
+
+
 def test_cotraining(spark, prose, docs, empty):
     rows = []
     for i in range(600):
