@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -26,8 +27,15 @@ def database(folder: str):
 
 def canon(frame):
     frame = frame[sorted(frame.columns)]
-    rows = [tuple("∅" if v is None or v != v else (f"{v:.6f}" if isinstance(v, float) else str(v)) for v in r)
-            for r in frame.itertuples(index=False)]
+    def shown(v):
+        if v is None or v is pd.NA or v != v:
+            return "∅"
+        return f"{v:.6f}" if isinstance(v, float) else str(v)
+
+    for name in frame.columns:  # whole numbers with nulls are floats on one side only
+        if str(frame[name].dtype) in ("Int64", "Int32"):
+            frame = frame.astype({name: "float64"})
+    rows = [tuple(map(shown, r)) for r in frame.itertuples(index=False)]
     return list(frame.columns), sorted(rows)
 
 
