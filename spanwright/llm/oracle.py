@@ -90,3 +90,36 @@ r AS (SELECT page_id, host, path, m, CASE
       FROM p JOIN s USING (page_id))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN m >= 0 THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+OP11 = r"""WITH
+d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+             sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+             ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+y AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM y)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+       AS output_sha256, sha256(text) AS restored_sha256 FROM z"""
+
+OP12 = r"""WITH
+pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pc),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM
+        (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+size AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, a, c.k, i, array_to_string(ws[:i], ' ') AS left_part, array_to_string(ws[i + 1:], ' ') AS right_part
+        FROM c, (SELECT unnest([1, 2, 3]) AS i) WHERE i < c.k),
+scored AS (SELECT cut.*, x.a AS l, y.a AS r, ((2000000 * cut.a::HUGEINT) // (x.a + y.a))::BIGINT AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = left_part JOIN f y ON y.lang = cut.lang AND y.phrase = right_part),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+part AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS most
+         FROM c, (SELECT unnest([2, 3]) AS j), (SELECT unnest([1, 2, 3]) AS i) WHERE j < k AND i + j - 1 <= k GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM low LEFT JOIN part USING (lang, phrase) JOIN size USING (lang) WHERE most IS NULL OR 100 * most < 80 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""

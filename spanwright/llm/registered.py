@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.llm import bpe, cotrain, decontam, minhash, oracle, packed, rules, secrets, tokencount, toxicity, urls
+from spanwright.llm import bpe, collocations, cotrain, decontam, infill, minhash, oracle, packed, rules, secrets, tokencount, toxicity, urls
 from spanwright.session import read_table, shared_folder
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,19 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    form, output = F.col("infill.form"), F.col("infill.output")
+    prefix, middle = infill.part_lengths(form, output)
+    return infill.infilled(read_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("infill.n").alias("n"), form.alias("form"), prefix.alias("prefix_chars"), middle.alias("middle_chars"),
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(form, output).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 REGISTERED = {
     "op1_cotrain": (op1_cotrain, None),
     "op2_bpe": (op2_bpe, None),
@@ -96,4 +109,6 @@ REGISTERED = {
     "op9_token_counts": (op9_token_counts, None),
     "op8_decontaminate": (op8_decontaminate, None),
     "op10_secrets": (op10_secrets, None),
+    "op11_infill": (op11_infill, oracle.OP11),
+    "op12_collocations": (op12_collocations, oracle.OP12),
 }
