@@ -1,7 +1,7 @@
 """Phrase collocations: counts of word sequences from an FM-index per shard, scores over all shards.
 
-A shard is a run of whole documents with about `SHARD_WORDS` words. Its FM-index over word ids (`fmindex`)
-is written once; each further length is one pass over these indexes, in which all intervals of the phrases
+A first pass counts words. A shard is a run of whole documents with about `SHARD_WORDS` words; its FM-index over
+the ids of frequent words (`fmindex`) is written once, and each further length is one pass over these indexes, in which all intervals of the phrases
 that can still matter are extended at once, to the left for two and three words, to the right for four.
 The counts of the extensions are summed across shards, and only phrases that reach the least count in
 the whole corpus are extended in the next pass, since no longer phrase is more frequent than its parts.
@@ -29,7 +29,7 @@ from spanwright.session import durable, shared_folder
 
 LONGEST = 4
 LEAST = 30
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SLOTS = 1 << 25
 NO_LANG = "und"
 SEEDS = 8
@@ -84,106 +84,118 @@ class _Shard:
             self.langs.append(langs[row + rows])
             self.size += len(starts)
 
-    def columns(self, names: list[str], seed: int) -> list[pa.Array]:
-        """The index of all words so far, as columns of one row; the shard is empty afterwards."""
+    def taken(self, names: list[str], seed: int):
+        """(words, their languages' numbers, counts, hashes, symbol of each word in order, piece starts); the shard is empty then."""
         coded = pa.chunked_array(self.words, pa.string()).dictionary_encode().combine_chunks()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         known = coded.dictionary
-        langs = np.concatenate(self.langs)
-        pairs, symbols, counts = np.unique(langs * np.int64(len(known)) + coded.indices.to_numpy(), return_inverse=True, return_counts=True)
-        words = known.take(pa.array(pairs % len(known)))
-        of = pairs // len(known)
-        new = np.concatenate(self.starts)
-        text = np.zeros(len(symbols) + int(new.sum()) + 1, np.int32)
-        text[np.arange(len(symbols)) + np.cumsum(new)] = symbols + 1
-        forward, reverse = transform(text, LONGEST), transform(text[::-1], LONGEST)
+        pairs, symbols, counts = np.unique(np.concatenate(self.langs) * np.int64(len(known)) + coded.indices.to_numpy(),
+                                           return_inverse=True, return_counts=True)
+        words, of = known.take(pa.array(pairs % len(known))), pairs // len(known)
         _, hashed = word_hashes(*utf8(words), separators=np.zeros(256, bool), lower=False)
-        salt = np.array([hash_name(n) for n in names], U64)[of] + U64(seed)
-        hashed = mix(hashed ^ mix(salt))
-        per_lang = np.bincount(langs, minlength=len(names))
-        sizes = [{"lang": n, "words": int(per_lang[k])} for k, n in enumerate(names) if per_lang[k]]
+        salt = mix(np.array([_name_hash(n) for n in names], U64) + U64(seed))
+        new = np.concatenate(self.starts)
         self.__init__()
-        one = lambda values, kind: pa.array([values], kind)
-        return [one(sizes, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))),
-                pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), pa.array(names, pa.string()).take(pa.array(of))),
-                pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), words),
-                pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), pa.array(counts)),
-                pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), pa.array(hashed.view(np.int64))),
-                one(forward.tobytes(), pa.binary()), one(reverse.tobytes(), pa.binary())]
+        return words, of, counts, mix(hashed ^ salt[of]).view(np.int64), symbols, new
 
 
-def hash_name(name: str) -> int:
-    """A 64-bit hash of a language name."""
+def _name_hash(name: str) -> int:
     _, hashed = word_hashes(*utf8(pa.array(["=" + name])), separators=np.zeros(256, bool), lower=False)
     return int(hashed[0])
 
 
-def index(docs: DataFrame, path: str, seed: int = 0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Write one FM-index row per shard of `docs` as Parquet at `path` and read it."""
-    size = SHARD_WORDS
+def _gathered(batches: Iterator[pa.RecordBatch], seed: int, shard_words: int) -> Iterator[tuple[list[str], tuple]]:
+    """(language names, what `_Shard.taken` gives) of one shard after another, from batches (text, lang)."""
+    shard, names = _Shard(), []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column(1).dictionary_encode()
+        names += [n for n in coded.dictionary.to_pylist() if n not in names]
+        langs = np.array([names.index(n) for n in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        data, bounds = utf8(batch.column(0))
+        for low, high in groups(bounds):
+            shard.add(data[bounds[low]:bounds[high]], bounds[low:high + 1] - bounds[low], langs[low:high])
+            if shard.size >= shard_words:
+                yield names, shard.taken(names, seed)
+    if shard.size:
+        yield names, shard.taken(names, seed)
+
 
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"))
+
+
+def _frequent(texts: DataFrame, seed: int, least: int, shard_words: int) -> DataFrame:
+    """(h1) of the hashes with at least `least` words behind them."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, names, made = _Shard(), [], 0
-        fields = ["sizes", "langs", "words", "counts", "hashes", "forward", "reverse"]
+        for _, (_, _, counts, hashed, _, _) in _gathered(batches, seed, shard_words):
+            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(counts)], ["h1", "a"])
 
-        def flush() -> pa.RecordBatch:
-            nonlocal made
-            made += 1
-            name = f"{TaskContext.get().partitionId()}-{made}"
-            return pa.RecordBatch.from_arrays([pa.array([name]), *shard.columns(names, seed)], ["shard", *fields])
+    counted = texts.mapInArrow(each, "h1 bigint, a bigint")
+    return counted.groupBy("h1").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("h1")
+
+
+def index(texts: DataFrame, path: str, frequent, seed: int = 0, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Write an FM-index row per shard of `texts` (text, lang) as Parquet at `path` and read it.
+
+    Words outside the bitmap `frequent` end a piece as breaks do: no frequent phrase runs over them. `sizes` counts all
+    words; symbol k + 1 is the k-th of the words. Symbols take two bytes each where the shard's words allow it, else four.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = frequent.value
+        for made, (names, (words, of, counts, hashed, symbols, new)) in enumerate(_gathered(batches, seed, shard_words)):
+            totals = np.bincount(of, weights=counts, minlength=len(names)).astype(np.int64)
+            sizes = [{"lang": n, "words": int(t)} for n, t in zip(names, totals, strict=True) if t]
+            keep = _in(bits, hashed, np.arange(len(hashed))[:, None])
+            kind = np.uint16 if keep.sum() < 65535 else np.uint32
+            text = np.zeros(len(symbols) + int(new.sum()) + 1, np.int64)
+            text[np.arange(len(symbols)) + np.cumsum(new)] = (np.cumsum(keep) * keep)[symbols]
+            text = text[np.concatenate(([True], (text[1:] > 0) | (text[:-1] > 0)))]
+            text = text if text[-1] == 0 else np.append(text, 0)
+            both = [pa.array([transform(t, LONGEST).astype(kind).tobytes()], pa.binary()) for t in (text, text[::-1])]
+            kept = pa.array(np.flatnonzero(keep))
+            bounds = pa.array([0, len(kept)], pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, v.take(kept)) for v in
+                     (pa.array(names, pa.string()).take(pa.array(of)), words, pa.array(counts), pa.array(hashed))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
+                 pa.array([sizes], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))), *lists, *both],
+                ["shard", "sizes", "langs", "words", "counts", "hashes", "forward", "reverse"])
 
-        for batch in batches:
-            coded = batch.column(1).dictionary_encode()
-            numbers = {n: k for k, n in enumerate(names)}
-            here = []
-            for n in coded.dictionary.to_pylist():
-                if n not in numbers:
-                    numbers[n] = len(names)
-                    names.append(n)
-                here.append(numbers[n])
-            langs = np.array(here, np.int64)[coded.indices.to_numpy()] if batch.num_rows else np.zeros(0, np.int64)
-            data, bounds = utf8(batch.column(0))
-            for low, high in groups(bounds):
-                shard.add(data[bounds[low]:bounds[high]], bounds[low:high + 1] - bounds[low], langs[low:high])
-                if shard.size >= size:
-                    yield flush()
-        if shard.size:
-            yield flush()
-
-    texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"))
     texts.mapInArrow(each, _INDEX).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return texts.sparkSession.read.parquet(path)
 
 
-def _slots(columns: list[np.ndarray]) -> np.ndarray:
+def _slots(columns: list[np.ndarray], slots: int) -> np.ndarray:
     acc = np.zeros(len(columns[0]), U64)
     for c in columns:
         acc = mix(acc * U64(0xA0761D6478BD642F) + c.view(U64) + U64(1))
-    return (acc >> U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    return (acc >> U64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
-def _bitmap(spark: SparkSession, phrases: DataFrame, n: int):
-    """A broadcast bitmap of the slots of all phrases of n hashes; SLOTS bits, whatever their number."""
+def _bitmap(spark: SparkSession, phrases: DataFrame, n: int, slots: int):
+    """A broadcast bitmap of the places of all phrases of n hashes; `slots` (a power of two) bits, whatever their number."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SLOTS // 8, np.uint8)
+        bits = np.zeros(slots // 8, np.uint8)
         for batch in batches:
             if batch.num_rows:
-                slots = _slots([batch.column(k).to_numpy() for k in range(n)])
-                np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+                at = _slots([batch.column(k).to_numpy() for k in range(n)], slots)
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         cells = bits.view("<i8")
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "bits"])
 
     found = phrases.select(*[f"h{k}" for k in range(1, n + 1)]).mapInArrow(each, "cell bigint, bits bigint")
     rows = found.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    cells = np.zeros(SLOTS // 64, "<i8")
+    cells = np.zeros(slots // 64, "<i8")
     cells[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
     return spark.sparkContext.broadcast(cells.view(np.uint8))
 
 
 def _in(bits: np.ndarray, hashes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    slots = _slots([hashes[symbols[:, k]] for k in range(symbols.shape[1])])
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+    at = _slots([hashes[symbols[:, k]] for k in range(symbols.shape[1])], 8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
@@ -194,8 +206,9 @@ def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes = np.concatenate(([0], batch.column(0)[i].values.to_numpy()))
-                forward, reverse = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int32) for k in (1, 2))
-                found = WordIndex(forward, reverse, len(hashes))
+                kind = np.uint16 if len(hashes) - 1 < 65535 else np.uint32
+                sides = [np.frombuffer(c[i].as_buffer(), kind) for c in batch.columns[1:]]
+                found = WordIndex(*(sides * 2)[:2], len(hashes))  # extension to the right comes with four words only
                 at = found.single()
                 for k in range(1, n):
                     bits = passed[k - 1].value
@@ -206,7 +219,8 @@ def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
                 columns = [pa.array(hashes[at.symbols[:, k]]) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(at.count)], [*names, "a"])
 
-    counted = shards.select("hashes", "forward", "reverse").mapInArrow(each, ", ".join(f"{c} bigint" for c in [*names, "a"]))
+    sides = ["forward", "reverse"] if n > 3 else ["forward"]
+    counted = shards.select("hashes", *sides).mapInArrow(each, ", ".join(f"{c} bigint" for c in [*names, "a"]))
     return durable(counted.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
@@ -219,22 +233,25 @@ def _vocabulary(shards: DataFrame, least: int) -> DataFrame:
     return durable(words.select("*", clash).where(F.col("a") >= least))
 
 
-def counted(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang"):
+def counted(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS,
+            slots: int = SLOTS):
     """(sizes(lang, n), words(h1, lang, word, a), [phrases of 2, 3, 4 words (h1.., a)]), all counts over the corpus."""
     spark = docs.sparkSession
     for seed in range(SEEDS):
-        shards = index(docs, f"{shared_folder(spark)}/word-index-{uuid.uuid4().hex}", seed, text_col, lang_col)
+        texts = _texts(docs, text_col, lang_col)
+        passed = [_bitmap(spark, _frequent(texts, seed, least, shard_words), 1, slots)]
+        shards = index(texts, f"{shared_folder(spark)}/word-index-{uuid.uuid4().hex}", passed[0], seed, shard_words)
         words = _vocabulary(shards, least)
         if words.where("clash").isEmpty():
             break
     else:
         raise RuntimeError(f"frequent words share a hash with others under each of {SEEDS} seeds")
     sizes = shards.select(F.inline("sizes")).groupBy("lang").agg(F.sum("words").alias("n"))
-    passed, tables = [_bitmap(spark, words, 1)], []
+    tables = []
     for n in range(2, LONGEST + 1):
         tables.append(_summed(shards, n, least, passed))
         if n < LONGEST:
-            passed.append(_bitmap(spark, tables[-1], n))
+            passed.append(_bitmap(spark, tables[-1], n, slots))
     return sizes, words.drop("clash"), tables
 
 
@@ -250,7 +267,7 @@ def _cut(k: int, left: str, right: str):
 
 
 def collocations(docs: DataFrame, least: int = LEAST, percent: int = 80, top: int = 2000, text_col: str = "text",
-                 lang_col: str = "lang") -> DataFrame:
+                 lang_col: str = "lang", shard_words: int = SHARD_WORDS, slots: int = SLOTS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of two to four words of each language.
 
     Texts are lower-cased (A-Z) and cut into pieces at `[.,;:!?\\x0A-\\x0D]`, these into words at spaces and tabs.
@@ -261,7 +278,7 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = 80, top: in
     A null text is empty; a null language is `und`. Repeated rows count each time. A language without a frequent
     phrase has no rows, an empty table none at all. Other columns are ignored, whatever their names.
     """
-    sizes, words, (twos, threes, fours) = counted(docs, least, text_col, lang_col)
+    sizes, words, (twos, threes, fours) = counted(docs, least, text_col, lang_col, shard_words, slots)
     first = words.select("h1", "lang", "word", F.col("a").alias("fa"))
     last = words.select(F.col("h1").alias("h2"), F.col("word").alias("last"), F.col("a").alias("fz"))
     two = twos.join(first, "h1").join(last, "h2").select(
