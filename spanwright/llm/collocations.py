@@ -8,8 +8,8 @@ the whole corpus are extended in the next pass, since no longer phrase is more f
 
 What the corpus has passed on travels back to the shards as a bitmap of fixed size over hashed phrases
 (`SLOTS`): a phrase missed by it cannot be frequent, one let through in error only costs a row. Words go
-by a 64-bit hash of (lang, word); a frequent word that shares its hash with another one is looked for and
-the next seed is taken then, so that counts are exact.
+by a 64-bit hash of (lang, word); words of frequent phrases that share a hash with another word are looked for
+and the next seed is taken then, so that counts are exact.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from spanwright.session import durable, shared_folder
 
 LONGEST = 4
 LEAST = 30
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 SLOTS = 1 << 25
 NO_LANG = "und"
 SEEDS = 8
@@ -132,7 +132,7 @@ def _frequent(texts: DataFrame, seed: int, least: int, shard_words: int) -> Data
         for _, (_, _, counts, hashed, _, _) in _gathered(batches, seed, shard_words):
             yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(counts)], ["h1", "a"])
 
-    counted = texts.mapInArrow(each, "h1 bigint, a bigint")
+    counted = texts.mapInArrow(each, "h1 bigint, a bigint").repartition("h1")  # summed per shard; summing per task gains little
     return counted.groupBy("h1").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("h1")
 
 
@@ -163,7 +163,7 @@ def index(texts: DataFrame, path: str, frequent, seed: int = 0, shard_words: int
                  pa.array([sizes], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))), *lists, *both],
                 ["shard", "sizes", "langs", "words", "counts", "hashes", "forward", "reverse"])
 
-    texts.mapInArrow(each, _INDEX).write.parquet(path)
+    texts.mapInArrow(each, _INDEX).write.option("compression", "zstd").parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 
@@ -218,40 +218,50 @@ def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
                     at = at.where(_in(bits, hashes, part))
                 columns = [pa.array(hashes[at.symbols[:, k]]) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(at.count)], [*names, "a"])
+            pa.default_memory_pool().release_unused()
 
     sides = ["forward", "reverse"] if n > 3 else ["forward"]
     counted = shards.select("hashes", *sides).mapInArrow(each, ", ".join(f"{c} bigint" for c in [*names, "a"]))
-    return durable(counted.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    return durable(counted.repartition(*names).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
-def _vocabulary(shards: DataFrame, least: int) -> DataFrame:
-    """(h1, lang, word, a, clash) of the frequent words; `clash` says that another word has the same hash."""
-    flat = shards.select(F.inline(F.arrays_zip("langs", "words", "counts", "hashes")))
-    words = (flat.select(F.col("langs").alias("lang"), F.col("words").alias("word"), "counts", F.col("hashes").alias("h1"))
-             .repartition("h1").groupBy("h1", "lang", "word").agg(F.sum("counts").alias("a")))
-    clash = (F.count(F.lit(1)).over(Window.partitionBy("h1")) > 1).alias("clash")
-    return durable(words.select("*", clash).where(F.col("a") >= least))
+def _vocabulary(shards: DataFrame, twos: DataFrame, slots: int) -> DataFrame:
+    """(h1, lang, word, a, clash) of the words in frequent phrases; `clash` says that another word has the same hash."""
+    used = _bitmap(shards.sparkSession, twos.select("h1").union(twos.select("h2")), 1, slots)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashed = batch.column(0)[i].values.to_numpy()
+                kept = pa.array(np.flatnonzero(_in(used.value, hashed, np.arange(len(hashed))[:, None])))
+                yield pa.RecordBatch.from_arrays([c[i].values.take(kept) for c in batch.columns], ["h1", "lang", "word", "a"])
+
+    words = (shards.select("hashes", "langs", "words", "counts").mapInArrow(each, "h1 bigint, lang string, word string, a bigint")
+             .repartition("h1").groupBy("h1", "lang", "word").agg(F.sum("a").alias("a")))
+    return durable(words.select("*", (F.count(F.lit(1)).over(Window.partitionBy("h1")) > 1).alias("clash")))
 
 
 def counted(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS,
             slots: int = SLOTS):
-    """(sizes(lang, n), words(h1, lang, word, a), [phrases of 2, 3, 4 words (h1.., a)]), all counts over the corpus."""
+    """(sizes(lang, n), words(h1, lang, word, a), [phrases of 2, 3, 4 words (h1.., a)]), all counts over the corpus.
+
+    `words` holds the words of the phrases, and with them a few others.
+    """
     spark = docs.sparkSession
     for seed in range(SEEDS):
         texts = _texts(docs, text_col, lang_col)
         passed = [_bitmap(spark, _frequent(texts, seed, least, shard_words), 1, slots)]
         shards = index(texts, f"{shared_folder(spark)}/word-index-{uuid.uuid4().hex}", passed[0], seed, shard_words)
-        words = _vocabulary(shards, least)
+        tables = [_summed(shards, 2, least, passed)]
+        words = _vocabulary(shards, tables[0], slots)
         if words.where("clash").isEmpty():
             break
     else:
-        raise RuntimeError(f"frequent words share a hash with others under each of {SEEDS} seeds")
+        raise RuntimeError(f"words of frequent phrases share a hash with others under each of {SEEDS} seeds")
     sizes = shards.select(F.inline("sizes")).groupBy("lang").agg(F.sum("words").alias("n"))
-    tables = []
-    for n in range(2, LONGEST + 1):
+    for n in range(3, LONGEST + 1):
+        passed.append(_bitmap(spark, tables[-1], n - 1, slots))
         tables.append(_summed(shards, n, least, passed))
-        if n < LONGEST:
-            passed.append(_bitmap(spark, tables[-1], n, slots))
     return sizes, words.drop("clash"), tables
 
 

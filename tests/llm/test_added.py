@@ -140,9 +140,9 @@ def test_shard_words_do_not_depend_on_pieces(texts, monkeypatch):
 def test_collocations_take_another_seed_when_hashes_clash(docs, monkeypatch):
     real, seeds = collocations._vocabulary, []
 
-    def clashing(shards, least):
+    def clashing(*given):
         seeds.append(1)
-        words = real(shards, least)
+        words = real(*given)
         return words.withColumn("clash", F.lit(True)) if len(seeds) == 1 else words
 
     monkeypatch.setattr(collocations, "_vocabulary", clashing)
