@@ -8,8 +8,8 @@ the whole corpus are extended in the next pass, since no longer phrase is more f
 
 What the corpus has passed on travels back to the shards as a bitmap of fixed size over hashed phrases
 (`SLOTS`): a phrase missed by it cannot be frequent, one let through in error only costs a row. Words go
-by a 64-bit hash of (lang, word); words of frequent phrases that share a hash with another word are looked for
-and the next seed is taken then, so that counts are exact.
+by a 64-bit hash of (lang, word); a second, independent number of 32 bits shows whether a frequent word shares its hash
+with another word, and the next seed is taken then.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from spanwright.session import durable, shared_folder
 
 LONGEST = 4
 LEAST = 30
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 19
 SLOTS = 1 << 25
 NO_LANG = "und"
 SEEDS = 8
@@ -40,8 +40,8 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BREAK.copy()
 APART[[0x20, 0x09]] = True
 
-_INDEX = ("shard string, sizes array<struct<lang:string,words:bigint>>, langs array<string>, words array<string>, "
-          "counts array<bigint>, hashes array<bigint>, forward binary, reverse binary")
+_INDEX = ("shard string, sizes array<struct<lang:string,words:bigint>>, words array<string>, hashes array<bigint>, "
+          "forward binary, reverse binary")
 
 
 def _chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -126,14 +126,29 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"))
 
 
+def _check_number(words: pa.Array, salt: np.ndarray) -> np.ndarray:
+    """A 32-bit number of each word, made otherwise than its hash: sums of its bytes, plain and by place."""
+    data, bounds = utf8(words)
+    value = mix(data.astype(U64) + U64(0x51)) >> U64(8)
+    place = np.arange(len(data), dtype=U64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(U64)
+    one, two = (np.concatenate((np.zeros(1, U64), np.cumsum(v))) for v in (value, value * (place * place + U64(1))))
+    total = (one[bounds[1:]] - one[bounds[:-1]]) * U64(0x9E3779B97F4A7C15) + (two[bounds[1:]] - two[bounds[:-1]])
+    return (mix(total ^ salt) >> U64(32)).astype(np.uint32).view(np.int32)
+
+
 def _frequent(texts: DataFrame, seed: int, least: int, shard_words: int) -> DataFrame:
-    """(h1) of the hashes with at least `least` words behind them."""
+    """(h1, lang, a, clash) of the words with at least `least` occurrences; `clash`: another word has the same hash."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, _, counts, hashed, _, _) in _gathered(batches, seed, shard_words):
-            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(counts)], ["h1", "a"])
+        for names, (words, of, counts, hashed, _, _) in _gathered(batches, seed, 2 * shard_words):
+            check = _check_number(words, np.array([_name_hash(n) for n in names], U64)[of])
+            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(names, pa.string()).take(pa.array(of)), pa.array(counts), pa.array(check)],
+                                             ["h1", "lang", "a", "check"])
 
-    counted = texts.mapInArrow(each, "h1 bigint, a bigint").repartition("h1")  # summed per shard; summing per task gains little
-    return counted.groupBy("h1").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("h1")
+    # counted per run of documents already; summing once more per task would gain little
+    rows = texts.mapInArrow(each, "h1 bigint, lang string, a bigint, check int").repartition("h1")
+    words = rows.groupBy("h1", "lang").agg(F.sum("a").alias("a"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    clash = (F.count(F.lit(1)).over(Window.partitionBy("h1")) > 1) | (F.col("lo") < F.col("hi"))
+    return durable(words.select("h1", "lang", "a", clash.alias("clash")).where(F.col("a") >= least))
 
 
 def index(texts: DataFrame, path: str, frequent, seed: int = 0, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -156,12 +171,11 @@ def index(texts: DataFrame, path: str, frequent, seed: int = 0, shard_words: int
             both = [pa.array([transform(t, LONGEST).astype(kind).tobytes()], pa.binary()) for t in (text, text[::-1])]
             kept = pa.array(np.flatnonzero(keep))
             bounds = pa.array([0, len(kept)], pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, v.take(kept)) for v in
-                     (pa.array(names, pa.string()).take(pa.array(of)), words, pa.array(counts), pa.array(hashed))]
+            lists = [pa.ListArray.from_arrays(bounds, v.take(kept)) for v in (words, pa.array(hashed))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
                  pa.array([sizes], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))), *lists, *both],
-                ["shard", "sizes", "langs", "words", "counts", "hashes", "forward", "reverse"])
+                ["shard", "sizes", "words", "hashes", "forward", "reverse"])
 
     texts.mapInArrow(each, _INDEX).write.option("compression", "zstd").parquet(path)
     return texts.sparkSession.read.parquet(path)
@@ -225,44 +239,41 @@ def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
     return durable(counted.repartition(*names).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
-def _vocabulary(shards: DataFrame, twos: DataFrame, slots: int) -> DataFrame:
-    """(h1, lang, word, a, clash) of the words in frequent phrases; `clash` says that another word has the same hash."""
-    used = _bitmap(shards.sparkSession, twos.select("h1").union(twos.select("h2")), 1, slots)
+def _strings(shards: DataFrame, used: DataFrame, slots: int) -> DataFrame:
+    """(h, word) of the hashes in `used` (h1), and of a few others."""
+    bitmap = _bitmap(shards.sparkSession, used, 1, slots)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # at most the words asked for, and those that share their slots
         for batch in batches:
             for i in range(batch.num_rows):
                 hashed = batch.column(0)[i].values.to_numpy()
-                kept = pa.array(np.flatnonzero(_in(used.value, hashed, np.arange(len(hashed))[:, None])))
-                yield pa.RecordBatch.from_arrays([c[i].values.take(kept) for c in batch.columns], ["h1", "lang", "word", "a"])
+                at = np.flatnonzero(_in(bitmap.value, hashed, np.arange(len(hashed))[:, None]))
+                at = np.array([k for k in at if int(hashed[k]) not in seen], np.int64)
+                seen.update(map(int, hashed[at]))
+                yield pa.RecordBatch.from_arrays([c[i].values.take(pa.array(at)) for c in batch.columns], ["h", "word"])
 
-    words = (shards.select("hashes", "langs", "words", "counts").mapInArrow(each, "h1 bigint, lang string, word string, a bigint")
-             .repartition("h1").groupBy("h1", "lang", "word").agg(F.sum("a").alias("a")))
-    return durable(words.select("*", (F.count(F.lit(1)).over(Window.partitionBy("h1")) > 1).alias("clash")))
+    return shards.select("hashes", "words").mapInArrow(each, "h bigint, word string").distinct()
 
 
 def counted(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS,
             slots: int = SLOTS):
-    """(sizes(lang, n), words(h1, lang, word, a), [phrases of 2, 3, 4 words (h1.., a)]), all counts over the corpus.
-
-    `words` holds the words of the phrases, and with them a few others.
-    """
-    spark = docs.sparkSession
+    """(shards, sizes(lang, n), words(h1, lang, a), [phrases of 2, 3, 4 words (h1.., a)]), all counts over the corpus."""
+    spark, texts = docs.sparkSession, _texts(docs, text_col, lang_col)
     for seed in range(SEEDS):
-        texts = _texts(docs, text_col, lang_col)
-        passed = [_bitmap(spark, _frequent(texts, seed, least, shard_words), 1, slots)]
-        shards = index(texts, f"{shared_folder(spark)}/word-index-{uuid.uuid4().hex}", passed[0], seed, shard_words)
-        tables = [_summed(shards, 2, least, passed)]
-        words = _vocabulary(shards, tables[0], slots)
+        words = _frequent(texts, seed, least, shard_words)
         if words.where("clash").isEmpty():
             break
     else:
-        raise RuntimeError(f"words of frequent phrases share a hash with others under each of {SEEDS} seeds")
-    sizes = shards.select(F.inline("sizes")).groupBy("lang").agg(F.sum("words").alias("n"))
-    for n in range(3, LONGEST + 1):
-        passed.append(_bitmap(spark, tables[-1], n - 1, slots))
+        raise RuntimeError(f"frequent words share a hash with others under each of {SEEDS} seeds")
+    passed, tables = [_bitmap(spark, words, 1, slots)], []
+    shards = index(texts, f"{shared_folder(spark)}/word-index-{uuid.uuid4().hex}", passed[0], seed, shard_words)
+    for n in range(2, LONGEST + 1):
         tables.append(_summed(shards, n, least, passed))
-    return sizes, words.drop("clash"), tables
+        if n < LONGEST:
+            passed.append(_bitmap(spark, tables[-1], n, slots))
+    sizes = shards.select(F.inline("sizes")).groupBy("lang").agg(F.sum("words").alias("n"))
+    return shards, sizes, words.drop("clash"), tables
 
 
 def _renamed(df: DataFrame, prefix: str, first: int) -> DataFrame:
@@ -288,22 +299,17 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = 80, top: in
     A null text is empty; a null language is `und`. Repeated rows count each time. A language without a frequent
     phrase has no rows, an empty table none at all. Other columns are ignored, whatever their names.
     """
-    sizes, words, (twos, threes, fours) = counted(docs, least, text_col, lang_col, shard_words, slots)
-    first = words.select("h1", "lang", "word", F.col("a").alias("fa"))
-    last = words.select(F.col("h1").alias("h2"), F.col("word").alias("last"), F.col("a").alias("fz"))
-    two = twos.join(first, "h1").join(last, "h2").select(
-        "h1", "h2", "lang", F.concat_ws(" ", "word", "last").alias("phrase"), "last", "a", "fa", "fz",
-        F.col("fa").alias("head"), F.col("fz").alias("tail"), F.array(_cut(1, "fa", "fz")).alias("cuts"))
-    two = durable(two)
-    three = threes.join(_renamed(two, "p_", 1), ["h1", "h2"]).join(_renamed(two, "s_", 2), ["h2", "h3"]).select(
-        "h1", "h2", "h3", F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "s_last").alias("phrase"),
-        F.col("s_last").alias("last"), "a", F.col("p_fa").alias("fa"), F.col("s_fz").alias("fz"), F.col("p_a").alias("head"),
-        F.col("s_a").alias("tail"), F.array(_cut(1, "p_fa", "s_a"), _cut(2, "p_a", "s_fz")).alias("cuts"))
-    three = durable(three)
-    four = fours.join(_renamed(three, "p_", 1), ["h1", "h2", "h3"]).join(_renamed(three, "s_", 2), ["h2", "h3", "h4"]).select(
-        F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "s_last").alias("phrase"), "a",
-        F.array(_cut(1, "p_fa", "s_a"), _cut(2, "p_head", "s_tail"), _cut(3, "p_a", "s_fz")).alias("cuts"), "h1", "h2", "h3", "h4")
-    four = durable(four)
+    shards, sizes, words, (twos, threes, fours) = counted(docs, least, text_col, lang_col, shard_words, slots)
+    first = words.select("h1", "lang", F.col("a").alias("fa"))
+    last = words.select(F.col("h1").alias("h2"), F.col("a").alias("fz"))
+    two = durable(twos.join(first, "h1").join(last, "h2").select(
+        "h1", "h2", "lang", "a", "fa", "fz", F.col("fa").alias("head"), F.col("fz").alias("tail"), F.array(_cut(1, "fa", "fz")).alias("cuts")))
+    three = durable(threes.join(_renamed(two, "p_", 1), ["h1", "h2"]).join(_renamed(two, "s_", 2), ["h2", "h3"]).select(
+        "h1", "h2", "h3", F.col("p_lang").alias("lang"), "a", F.col("p_fa").alias("fa"), F.col("s_fz").alias("fz"),
+        F.col("p_a").alias("head"), F.col("s_a").alias("tail"), F.array(_cut(1, "p_fa", "s_a"), _cut(2, "p_a", "s_fz")).alias("cuts")))
+    four = durable(fours.join(_renamed(three, "p_", 1), ["h1", "h2", "h3"]).join(_renamed(three, "s_", 2), ["h2", "h3", "h4"]).select(
+        "h1", "h2", "h3", "h4", F.col("p_lang").alias("lang"), "a",
+        F.array(_cut(1, "p_fa", "s_a"), _cut(2, "p_head", "s_tail"), _cut(3, "p_a", "s_fz")).alias("cuts")))
 
     def maximal(shorter: DataFrame, longer: DataFrame, n: int) -> DataFrame:
         """Without the phrases that a phrase of one more word covers; one of still more words is never more frequent."""
@@ -311,12 +317,22 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = 80, top: in
         parts = longer.select(*names, "a").union(longer.select(*[F.col(f"h{k + 1}").alias(f"h{k}") for k in range(1, n + 1)], "a"))
         around = parts.groupBy(*names).agg(F.max("a").alias("most"))
         covered = F.col("most").isNotNull() & (F.lit(100) * F.col("most") >= F.lit(percent) * F.col("a"))
-        return shorter.join(around, names, "left").where(~covered).select("lang", "phrase", "a", "cuts")
-
-    kept = maximal(two, three, 2).union(maximal(three, four, 3)).union(four.select("lang", "phrase", "a", "cuts"))
-    lowest = kept.select("lang", "phrase", "a", F.array_min("cuts").alias("cut"))
-    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = lowest.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.join(sizes, "lang").select(
+        return shorter.join(around, names, "left").where(~covered)
+
+    def ready(phrases: DataFrame, n: int) -> DataFrame:
+        return phrases.select("lang", "a", F.array_min("cuts").alias("cut"), *[(F.col(f"h{k}") if k <= n else F.lit(None).cast("long")).alias(f"h{k}")
+                                                                               for k in range(1, LONGEST + 1)])
+
+    kept = ready(maximal(two, three, 2), 2).union(ready(maximal(three, four, 3), 3)).union(ready(four, LONGEST))
+    # words are fetched for the best phrases and those level with the last of them only
+    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"))
+    ranked = durable(kept.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= top))
+    hashes = [f"h{k}" for k in range(1, LONGEST + 1)]
+    strings = _strings(shards, ranked.select(F.explode(F.array(*hashes)).alias("h1")).where("h1 is not null"), slots)
+    for h in hashes:
+        ranked = ranked.join(strings.select(F.col("h").alias(h), F.col("word").alias("w" + h)), h, "left")
+    named = ranked.withColumn("phrase", F.concat_ws(" ", *["w" + h for h in hashes]))
+    final = named.withColumn("rank", F.row_number().over(best.orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    return final.join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
         F.col("cut.score").cast("long").alias("score"))

@@ -137,13 +137,20 @@ def test_shard_words_do_not_depend_on_pieces(texts, monkeypatch):
         assert taken() == whole
 
 
+def test_check_numbers_tell_words_apart(prose):
+    words = sorted({*prose(3000, 8).split(), "ab", "ba", "aab", "aba", "é", ""})
+    numbers = collocations._check_number(pa.array(words), np.zeros(len(words), np.uint64))
+    assert len(set(numbers.tolist())) == len(words)
+    assert numbers[3] == collocations._check_number(pa.array([words[3]]), np.zeros(1, np.uint64))[0]
+
+
 def test_collocations_take_another_seed_when_hashes_clash(docs, monkeypatch):
-    real, seeds = collocations._vocabulary, []
+    real, seeds = collocations._frequent, []
 
     def clashing(*given):
         seeds.append(1)
         words = real(*given)
         return words.withColumn("clash", F.lit(True)) if len(seeds) == 1 else words
 
-    monkeypatch.setattr(collocations, "_vocabulary", clashing)
+    monkeypatch.setattr(collocations, "_frequent", clashing)
     assert collocations.collocations(docs, least=20).count() > 0 and len(seeds) == 2
