@@ -41,7 +41,7 @@ SELECT policy, rule, count(*) FILTER (failed_bits & bit <> 0)::BIGINT AS n_faile
 FROM led, rule, policy WHERE mask & bit <> 0 GROUP BY policy, rule"""
 
 
-def near_duplicates(width: int) -> str:
+def near_duplicates(width: int, percent: int = 80, kept: str = ", d.doc_id = c.root AS kept") -> str:
     """Brute force: all pairs that share a shingle, then components by reaching the smallest id."""
     last = width - 1
     return rf"""WITH RECURSIVE
@@ -52,14 +52,15 @@ s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {width} THEN array_to_string(w
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
       JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-      WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
-      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+      WHERE 100 * least(na.n, nb.n) >= {percent} * greatest(na.n, nb.n)
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= {percent} * (na.n + nb.n - count(*))),
 r AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x WHERE r.root < e.y)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id{kept}
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(root) AS root FROM r GROUP BY x) c ON c.x = d.doc_id"""
 
 
 OP4 = near_duplicates(2)
+OP13 = near_duplicates(3, 90, "")
 
 
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

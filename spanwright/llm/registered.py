@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.llm import bpe, collocations, cotrain, decontam, infill, minhash, oracle, packed, rules, secrets, tokencount, toxicity, urls
+from spanwright.llm import bpe, collocations, cotrain, decontam, infill, minhash, oracle, packed, rules, secrets, tokencount, tokengroups, toxicity, urls
 from spanwright.session import read_table, shared_folder
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -97,6 +97,10 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read_table(spark, folder, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return tokengroups.jaccard_components(read_table(spark, folder, "documents"))
+
+
 REGISTERED = {
     "op1_cotrain": (op1_cotrain, None),
     "op2_bpe": (op2_bpe, None),
@@ -111,4 +115,5 @@ REGISTERED = {
     "op10_secrets": (op10_secrets, None),
     "op11_infill": (op11_infill, oracle.OP11),
     "op12_collocations": (op12_collocations, oracle.OP12),
+    "op13_jaccard": (op13_jaccard, oracle.OP13),
 }

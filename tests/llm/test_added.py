@@ -1,6 +1,7 @@
 """Operators 11 to 13 against plain versions on small tables with nulls, empty and long texts, ties, repeated rows and odd columns."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanwright.llm import collocations, infill
+from spanwright.llm import collocations, infill, tokengroups
 from spanwright.llm.fmindex import WordIndex, transform
 from spanwright.llm.words import utf8
 
@@ -154,3 +155,74 @@ def test_collocations_take_another_seed_when_hashes_clash(docs, monkeypatch):
 
     monkeypatch.setattr(collocations, "_frequent", clashing)
     assert collocations.collocations(docs, least=20).count() > 0 and len(seeds) == 2
+
+
+def plain_components(rows, width, percent):
+    """{row number: (set size, smallest id reachable)} by comparing all pairs of rows with an id."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        k = min(width, len(words))
+        sets.append(frozenset(tuple(words[i:i + k]) for i in range(len(words) - k + 1)) if words else frozenset())
+    low = [r[0] for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and None not in (low[a], low[b])
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                moved = True
+    return [(r[0], len(s), x) for r, s, x in zip(rows, sets, low, strict=True)]
+
+
+def families(prose):
+    """Texts with near copies at all distances around the threshold, a chain of edits, a shared passage, and copies."""
+    draw = random.Random(11)
+    out = [None, "", "one", "one two", "Two words", "two WORDS", prose(3000, 1)]
+    base = prose(60, 2).split()
+    for k in range(150):  # one family of many groups
+        copy = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2, 3, 6])):
+            copy[draw.randrange(len(copy))] = f"w{draw.randrange(400)}"
+        out.append(" ".join(copy))
+    chain = prose(80, 3).split()
+    for k in range(40):
+        chain[k] = f"c{k}"
+        out.append(" ".join(chain))
+    passage = prose(25, 4)
+    out += [passage + " " + prose(draw.randint(1, 60), 50 + k) for k in range(40)]
+    out += [" ".join(prose(n, 200 + n).split()[:-1]) for n in range(2, 30)] + [prose(n, 200 + n) for n in range(2, 30)]
+    out += out[5:40]
+    return out
+
+
+@pytest.mark.parametrize("percent,width", [(90, 3), (80, 2)])
+def test_jaccard_components_match_brute_force(spark, prose, empty, percent, width):
+    rows = [(1000 - i if i % 2 else i, t) for i, t in enumerate(families(prose))] + [(None, prose(60, 2)), (5, prose(60, 2)), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1, "g", "c", 2) for i, t in rows], "doc_id long, text string, rep string, n int, g string, c string, m1 int")
+    got = tokengroups.jaccard_components(docs, width, percent).collect()
+    # of rows with one id the sizes tell which is which
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_components(rows, width, percent)))
+    assert tokengroups.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_refuses_low_thresholds(docs):
+    with pytest.raises(ValueError):
+        tokengroups.jaccard_components(docs, percent=70)
+
+
+def test_linked_sets_share_prefix_tokens():
+    draw = np.random.default_rng(3)
+    counts = draw.integers(0, 9, tokengroups.SKETCH).astype(np.uint16)
+    for percent in (80, 90):
+        for _ in range(300):
+            size = int(draw.integers(5, 120))
+            one = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+            two = np.unique(np.concatenate((draw.choice(one, max(1, len(one) - int(draw.integers(0, size // 5 + 1))), replace=False),
+                                            draw.integers(0, 1 << 63, int(draw.integers(0, size // 8 + 1))).astype(np.uint64))))
+            both = len(np.intersect1d(one, two))
+            if 100 * both >= percent * (len(one) + len(two) - both) and both < max(len(one), len(two)):
+                met = np.intersect1d(tokengroups.prefix(one, counts, percent), tokengroups.prefix(two, counts, percent))
+                assert len(met) >= tokengroups.MEET
