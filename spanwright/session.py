@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder. For loops that join their own results.
+
+    A checkpoint keeps the planner's constraints and size estimates, and those of joins multiply: after a dozen rounds
+    planning alone takes minutes. A table that is read again starts from its file sizes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     parts = [F.lit(16)]
     for field in df.schema.fields:
