@@ -236,7 +236,9 @@ def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
 
     sides = ["forward", "reverse"] if n > 3 else ["forward"]
     counted = shards.select("hashes", *sides).mapInArrow(each, ", ".join(f"{c} bigint" for c in [*names, "a"]))
-    return durable(counted.repartition(*names).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    # pairs hardly repeat between the shards of one task, so they are summed after the shuffle only; longer phrases do
+    spread = counted.repartition(*names) if n == 2 else counted
+    return durable(spread.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
 def _strings(shards: DataFrame, used: DataFrame, slots: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.words import U64, groups, mix, row_slices, shingles, utf8, word_hashes
-from spanwright.session import durable
+from spanwright.session import durable, written
 
 COORDINATES = 64
 MATCHES = 33
@@ -175,24 +175,24 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, component) after adding the links (a, b): the smallest label reachable.
 
     Works on the components as nodes: each takes the smallest neighbour, then the label of that
-    label, until nothing changes. Each round is checkpointed. The joins are sort-merge joins by hint: the
+    label, until nothing changes. Each round is written and read again. The joins are sort-merge joins by hint: the
     many small broadcasts of a loop would pile up in the driver.
     """
     named = [labels.select(F.col("rep").alias(side), F.col("component").alias("c" + side)).hint("merge") for side in ("a", "b")]
     edges = links.join(named[0], "a").join(named[1], "b").where("ca <> cb").select("ca", "cb")
-    edges = durable(edges.union(edges.select("cb", "ca")).distinct())
+    edges = written(edges.union(edges.select("cb", "ca")).distinct())
     state = edges.select(F.col("ca").alias("node"), F.col("ca").alias("low")).distinct()
     moved = 1
     while moved:
         near = (edges.join(state.select(F.col("node").alias("cb"), "low").hint("merge"), "cb")
                 .groupBy(F.col("ca").alias("node")).agg(F.min("low").alias("least")))
-        step = durable(state.join(near.hint("merge"), "node").select("node", F.col("low").alias("was"), F.least("low", "least").alias("low")))
+        step = written(state.join(near.hint("merge"), "node").select("node", F.col("low").alias("was"), F.least("low", "least").alias("low")))
         up = step.select(F.col("node").alias("low"), F.col("low").alias("top")).hint("merge")
-        after = durable(step.join(up, "low", "left").select("node", "was", F.coalesce(F.least("top", "low"), "low").alias("low")))
+        after = written(step.join(up, "low", "left").select("node", "was", F.coalesce(F.least("top", "low"), "low").alias("low")))
         moved = after.where("was <> low").count()
         state = after.select("node", "low")
     moves = state.where("node <> low").select(F.col("node").alias("component"), "low").hint("merge")
-    return durable(labels.join(moves, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
+    return written(labels.join(moves, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
 
 
 def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:

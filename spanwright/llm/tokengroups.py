@@ -95,7 +95,7 @@ def need(sizes, percent: int):
 def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens of a set in the global order; none if only an equal set could be linked."""
     spare = len(tokens) - need(len(tokens), percent)
-    if spare == 0:
+    if len(tokens) * 100 < (len(tokens) + 1) * percent:  # too small even for a partner with one more token
         return np.zeros(0, U64)
     order = np.lexsort((tokens, counts[_cells(tokens)]))
     return tokens[order[:spare + MEET]]
@@ -316,19 +316,25 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     met = durable(postings.join(shared.select("token"), "token"))
     able = met.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MEET).select("c")
     placed = durable(_grouped(classes.join(able, "c")))
-    blocks = durable(_blocks(_members(docs, placed.select("rep", "set_id", "g", "c"), width, id_col, text_col), percent))
-    span = placed.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = durable(met.join(placed.select("c", "g"), "c").select("token", "g").distinct().join(span, "g"))
-
-    inside = blocks.select(F.inline("links"))
+    span = placed.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"))
+    matrix = durable(met.join(placed.select("c", "g"), "c").select("token", "g").distinct().join(span.drop("members"), "g"))
     labels = placed.select(F.col("c").alias("rep"), F.col("c").alias("component"))
+
+    # each group with the one that is first in most of its lists
     first = Window.partitionBy("g").orderBy(F.desc("k"), "g2")
     heads = matrix.groupBy("token").agg(F.min(F.struct("g", "lo", "hi")).alias("h"))
     hubs = (matrix.join(heads, "token").select("g", "lo", "hi", F.col("h.g").alias("g2"), F.col("h.lo").alias("lo2"), F.col("h.hi").alias("hi2"))
             .where((F.col("g") != F.col("g2")) & _fit("", "2", percent)).groupBy("g", "g2").agg(F.count(F.lit(1)).alias("k"))
-            .withColumn("at", F.row_number().over(first)).where("at = 1"))
+            .where(F.col("k") >= MEET).withColumn("at", F.row_number().over(first)).where("at = 1"))
     tried = durable(hubs.select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct())
-    links = durable(inside.union(_opened(tried, blocks, percent)))
+
+    def built(wanted: DataFrame) -> DataFrame:
+        members = placed.join(wanted, "g").select("rep", "set_id", "g", "c")
+        return durable(_blocks(_members(docs, members, width, id_col, text_col), percent))
+
+    wanted = tried.select("g").union(tried.select("g2")).union(span.where("members > 1").select("g")).distinct()
+    blocks = built(wanted)
+    links = durable(blocks.select(F.inline("links")).union(_opened(tried, blocks, percent)))
     after = connect(labels, links)
 
     # lists whose groups are not all in one component are paired out, group by group
@@ -338,8 +344,9 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     here = durable(at.join(open_, "token"))
     other = here.select("token", *[F.col(c).alias(c + "2") for c in ("g", "lo", "hi")], F.col("c1").alias("d1"), F.col("c2").alias("d2"))
     settled = (F.col("c1") == F.col("c2")) & (F.col("d1") == F.col("d2")) & (F.col("c1") == F.col("d1"))
-    pairs = (here.join(other, "token").where((F.col("g") < F.col("g2")) & _fit("", "2", percent) & ~settled)
-             .groupBy("g", "g2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MEET).select("g", "g2")
-             .join(tried, ["g", "g2"], "left_anti"))
-    late = durable(_opened(durable(pairs), blocks, percent))
+    pairs = durable(here.join(other, "token").where((F.col("g") < F.col("g2")) & _fit("", "2", percent) & ~settled)
+                    .groupBy("g", "g2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MEET).select("g", "g2")
+                    .join(tried, ["g", "g2"], "left_anti"))
+    more = pairs.select("g").union(pairs.select("g2")).distinct().join(blocks.select("g"), "g", "left_anti")
+    late = durable(_opened(pairs, blocks.union(built(more)), percent))
     return links.union(late), labels

@@ -223,6 +223,6 @@ def test_linked_sets_share_prefix_tokens():
             two = np.unique(np.concatenate((draw.choice(one, max(1, len(one) - int(draw.integers(0, size // 5 + 1))), replace=False),
                                             draw.integers(0, 1 << 63, int(draw.integers(0, size // 8 + 1))).astype(np.uint64))))
             both = len(np.intersect1d(one, two))
-            if 100 * both >= percent * (len(one) + len(two) - both) and both < max(len(one), len(two)):
+            if 100 * both >= percent * (len(one) + len(two) - both) and both < max(len(one), len(two)):  # linked, not equal
                 met = np.intersect1d(tokengroups.prefix(one, counts, percent), tokengroups.prefix(two, counts, percent))
                 assert len(met) >= tokengroups.MEET
