@@ -9,7 +9,8 @@ a posting key. A pair of classes with at least `MATCHES` equal coordinates is a
 * of the values left, ordered from rare to frequent, a pair with enough matches must share one of
   the first `size - MATCHES + 1` (the prefix), so only these are posted; the frequent rest is
   skipped and only read through the two signatures when collisions are counted;
-* candidates are confirmed on the full shingle sets.
+* candidates are confirmed on the full shingle sets, not pair by pair: similar classes form groups of up to 32, and
+  the groups that hold a candidate pair are compared as bit matrices (`blocks`), each pair of groups once.
 
 Long posting lists are not paired out. Each list has a few hubs, the first members by hash orders that all
 lists share, and each class is compared with its first hub in each order. Lists whose members have become
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.llm.blocks import blocks_of, grouped, members_of, opened
 from spanwright.llm.words import U64, groups, mix, row_slices, shingles, utf8, word_hashes
 from spanwright.session import durable, written
 
@@ -158,17 +160,15 @@ def _colliding(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.where(_collisions("sa", "sb") >= MATCHES).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _group_pairs(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The pairs of groups (g, g2) that hold the pairs (a, b) of classes, each once; both may be one group."""
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("members").alias("m" + side)).hint("merge"), side)
-    return (pairs.withColumn("common", F.size(F.array_intersect("ma", "mb")))
-            .where(F.col("common") * 100 >= (F.size("ma") + F.size("mb") - F.col("common")) * percent)
-            .select("a", "b"))
+        pairs = pairs.join(placed.select(F.col("rep").alias(side), F.col("g").alias("g" + side)).hint("merge"), side)
+    return durable(pairs.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("g2")).distinct())
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _either(pairs: DataFrame) -> DataFrame:
+    return pairs.select("g").union(pairs.select("g2")).distinct()
 
 
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,20 +282,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # Two rows may share an id but not a text: their classes then have one representative and one set of links.
     postings = durable(posting_prefixes(classes))
     active = postings.select("rep").distinct()
-    signed = durable(classes.select("rep", "set_id", "packed").join(active, "rep"))
+    value = [F.get("signature", F.lit(k)) for k in range(3)]
+    signed = durable(classes.join(active, "rep").select("rep", "set_id", "packed", F.col("n_shingles").cast("long").alias("n"),
+                                                        F.xxhash64(*value[:2]).alias("m1"), value[2].cast("long").alias("m2")))
+    placed = durable(grouped(signed.withColumn("c", F.monotonically_increasing_id())))
     labels = signed.select("rep", F.col("rep").alias("component"))
-    pairs = durable(_colliding(_hub_pairs(postings, percent), signed))
-    sets = durable(_full_sets(docs, signed.select("rep", "set_id").join(_ends(pairs), "rep"), width, id_col, text_col))
-    labels = connect(labels, _confirmed(pairs, sets, percent))
+
+    def built(wanted: DataFrame) -> DataFrame:
+        members = placed.join(wanted, "g").select("rep", "set_id", "g", "c")
+        return durable(blocks_of(members_of(docs, members, width, id_col, text_col), percent))
+
+    def named(links: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            links = links.join(placed.select(F.col("c").alias(side), F.col("rep").alias("r" + side)), side)
+        return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+    met = _group_pairs(_colliding(_hub_pairs(postings, percent), signed), placed)
+    blocks = built(_either(met))
+    labels = connect(labels, named(blocks.select(F.inline("links")).union(opened(met.where("g <> g2"), blocks, percent))))
     still = durable(_open_lists(postings, labels))
-    pairs = durable(_colliding(_short_pairs(still.where("not long"), percent), signed))
     crowd = still.where("long").select("rep").distinct()
-    wanted = _ends(pairs).union(crowd).distinct().join(sets.select("rep"), "rep", "left_anti")
-    sets = sets.union(durable(_full_sets(docs, signed.select("rep", "set_id").join(wanted, "rep"), width, id_col, text_col)))
-    crowded = _sifted(sets, crowd).join(crowd, "rep", "left_semi")
-    more = _colliding(_long_pairs(set_prefixes(crowded, percent), labels, percent), signed)
-    pairs = durable(pairs.union(more).distinct())
-    labels = connect(labels, _confirmed(pairs, _sifted(sets, _ends(pairs)), percent))
+    sets = durable(_full_sets(docs, signed.select("rep", "set_id").join(crowd, "rep"), width, id_col, text_col))
+    apart = _short_pairs(still.where("not long"), percent).union(_long_pairs(set_prefixes(sets, percent), labels, percent))
+    later = _group_pairs(_colliding(apart, signed), placed).join(met, ["g", "g2"], "left_anti")
+    extra = built(_either(later).join(blocks.select("g"), "g", "left_anti"))
+    more = extra.select(F.inline("links")).union(opened(later.where("g <> g2"), blocks.union(extra), percent))
+    labels = connect(labels, named(more))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return (rows.select("id", "n_shingles", "set_id").join(known, "set_id", "left")

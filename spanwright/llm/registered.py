@@ -33,7 +33,7 @@ def op3_rules(spark: SparkSession, folder: str) -> DataFrame:
         rules.passes("full-2").alias("kept"), F.col("ledger.failed").alias("failed_bits"))
 
 
-def op3_ablations(spark: SparkSession, folder: str) -> DataFrame:
+def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
     return rules.ablations(rules.ledger(read_table(spark, folder, "documents")))
 
 
@@ -105,7 +105,7 @@ REGISTERED = {
     "op1_cotrain": (op1_cotrain, None),
     "op2_bpe": (op2_bpe, None),
     "op3_rules": (op3_rules, oracle.OP3),
-    "op3_ablations": (op3_ablations, oracle.OP3_ABLATIONS),
+    "rule_ablations": (rule_ablations, oracle.OP3_ABLATIONS),
     "op4_minhash": (op4_minhash, oracle.OP4),
     "op5_toxicity": (op5_toxicity, None),
     "op6_packed_ids": (op6_packed_ids, None),
