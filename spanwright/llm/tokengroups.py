@@ -132,8 +132,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     usable = F.col("id").isNotNull() & F.col("set_id").isNotNull()
     classes = durable(rows.where(usable).groupBy("set_id").agg(
         F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")])).withColumn("c", F.monotonically_increasing_id())
-    links, labels = _class_links(docs, classes, width, percent, id_col, text_col)
-    named = connect(labels, links)
+    named = _class_components(docs, classes, width, percent, id_col, text_col)
     # a component is named by the smallest id of its classes
     lowest = durable(named.join(classes.select(F.col("c").alias("rep"), F.col("rep").alias("id"), "set_id"), "rep"))
     least = lowest.groupBy("component").agg(F.min("id").alias("least"))
@@ -144,8 +143,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b) between classes, labels (rep, component) of the classes that may have any)."""
+def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, component) of the numbers of all classes that may have a link."""
     postings = classes.select("c", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     met = durable(postings.join(shared.select("token"), "token"))
@@ -183,5 +182,6 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
                     .groupBy("g", "g2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MEET).select("g", "g2")
                     .join(tried, ["g", "g2"], "left_anti"))
     more = pairs.select("g").union(pairs.select("g2")).distinct().join(blocks.select("g"), "g", "left_anti")
-    late = durable(opened(pairs, blocks.union(built(more)), percent))
-    return links.union(late), labels
+    extra = built(more)
+    late = durable(extra.select(F.inline("links")).union(opened(pairs, blocks.union(extra), percent)))
+    return connect(after, late)
