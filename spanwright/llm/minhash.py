@@ -9,11 +9,12 @@ a posting key. A pair of classes with at least `MATCHES` equal coordinates is a
 * of the values left, ordered from rare to frequent, a pair with enough matches must share one of
   the first `size - MATCHES + 1` (the prefix), so only these are posted; the frequent rest is
   skipped and only read through the two signatures when collisions are counted;
-* candidates are confirmed on the full shingle sets, not pair by pair: similar classes form groups of up to 32, and
-  the groups that hold a candidate pair are compared as bit matrices (`blocks`), each pair of groups once.
+* similar classes form groups of up to 32 (`blocks`), and a list holds groups, not classes. Collisions are counted for
+  all members of two groups at once; groups with a candidate pair are compared as bit matrices of their full sets.
+  So near copies never travel pair by pair.
 
-Long posting lists are not paired out. Each list has a few hubs, the first members by hash orders that all
-lists share, and each class is compared with its first hub in each order. Lists whose members have become
+Long posting lists are not paired out. Each list has a few hubs, the first groups by hash orders that all
+lists share, and each group is compared with its first hub in each order. Lists whose members have become
 connected are closed. What open lists still hold across components is settled exactly: short lists are paired out;
 the classes of long lists are posted by their full sets under the shingles by which a linked pair can first meet, from
 rare to frequent, so a group of near copies meets only in what few of its members share. All these pairs must have
@@ -39,7 +40,7 @@ MATCHES = 33
 """A pair at similarity 0.8 has fewer equal coordinates with a probability below 1e-6."""
 HUBS = 10
 LONG = 64
-"""Open lists of more members are not paired out but settled by rare shingles; both ways are exact."""
+"""Open lists of more groups are not paired out but settled by rare shingles; both ways are exact."""
 SLOTS = 1 << 19
 """Bound of the table of hashed ids by which texts and sets are filtered before they are shuffled."""
 _COLUMNS = 4096
@@ -142,29 +143,43 @@ def posting_prefixes(classes: DataFrame) -> DataFrame:
     return ordered.select("rep", "n_shingles", F.explode(prefix).alias("t")).select("rep", "n_shingles", F.col("t.token").alias("token"))
 
 
-def _collisions(a: str, b: str) -> Column:
-    """Equal bytes of two packed signatures, at least the number of equal coordinates."""
-    total = F.lit(COORDINATES)
-    for k in range(COORDINATES // 8):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):  # any bit of a byte into its lowest
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        total = total - F.bit_count(x)
-    return total
+def group_signatures(signed: DataFrame, placed: DataFrame) -> DataFrame:
+    """(g, codes, tight) of each group: the packed signatures of its members, and whether two of them collide enough."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.array(x, np.int64).reshape(-1) for x in batch.column(1).to_pylist()]
+            tight = [len(c) > COORDINATES // 8 and int(np.sort(collisions(c, c), axis=1)[:, -2].max()) >= MATCHES for c in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(codes), pa.array(tight, pa.bool_())], ["g", "codes", "tight"])
+
+    held = placed.select("g", "rep").join(signed.select("rep", "packed"), "rep").groupBy("g").agg(F.collect_list("packed").alias("all"))
+    return held.select("g", F.flatten("all").alias("all")).mapInArrow(each, "g bigint, codes binary, tight boolean")
 
 
-def _colliding(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) with at least MATCHES collisions."""
-    for side in ("a", "b"):
-        pairs = pairs.join(signed.select(F.col("rep").alias(side), F.col("packed").alias("s" + side)).hint("merge"), side)
-    return pairs.where(_collisions("sa", "sb") >= MATCHES).select("a", "b")
+def collisions(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Equal bytes of all packed signatures of two groups, at least the numbers of equal coordinates."""
+    a, b = (x.view(np.uint8).reshape(-1, COORDINATES) for x in (one, two))
+    return (a[:, None, :] == b[None, :, :]).sum(axis=2)
 
 
-def _group_pairs(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The pairs of groups (g, g2) that hold the pairs (a, b) of classes, each once; both may be one group."""
-    for side in ("a", "b"):
-        pairs = pairs.join(placed.select(F.col("rep").alias(side), F.col("g").alias("g" + side)).hint("merge"), side)
-    return durable(pairs.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("g2")).distinct())
+def _colliding(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs of groups (g, g2) with members that have at least MATCHES collisions."""
+    for at, end in (("g", ""), ("g2", "2")):
+        pairs = pairs.join(codes.select(F.col("g").alias(at), F.col("codes").alias("codes" + end)).hint("merge"), at)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(k)] for k in (2, 3))
+            keep = np.zeros(batch.num_rows, bool)
+            single = np.array([len(a) == len(b) == COORDINATES for a, b in zip(one, two, strict=True)], bool)
+            at = np.flatnonzero(single)
+            if len(at):
+                same = np.stack([one[k] for k in at]) == np.stack([two[k] for k in at])
+                keep[at] = same.sum(axis=1) >= MATCHES
+            for k in np.flatnonzero(~single):
+                keep[k] = collisions(one[k], two[k]).max() >= MATCHES
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["g", "g2"])
+
+    return pairs.select("g", "g2", "codes", "codes2").mapInArrow(each, "g bigint, g2 bigint")
 
 
 def _either(pairs: DataFrame) -> DataFrame:
@@ -195,38 +210,45 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(moves, "component", "left").select("rep", F.coalesce("low", "component").alias("component")))
 
 
-def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each class with its first possible hub in each of HUBS hash orders, over its lists."""
+def _fit(one: tuple[Column, Column], two: tuple[Column, Column], percent: int) -> Column:
+    """Least and greatest sizes of two groups that leave room for a link."""
+    return (one[1] * 100 >= two[0] * percent) & (two[1] * 100 >= one[0] * percent)
+
+
+def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (g, g2) of each group with its first possible hub in each of HUBS hash orders, over its lists."""
     orders = range(HUBS)
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), *[
-        F.min(F.struct(F.hash("rep", F.lit(k)).alias("h"), F.col("n_shingles").alias("n2"), F.col("rep").alias("rep2"))).alias(f"hub{k}")
-        for k in orders]).where("held > 1").drop("held")
-    here = postings.join(lists, "token")
-    first = here.groupBy("rep").agg(*[F.min(F.when(_possible_hub(F.col(f"hub{k}"), percent), F.col(f"hub{k}"))).alias(f"hub{k}") for k in orders])
-    found = first.select("rep", F.explode(F.array(*[F.col(f"hub{k}.rep2") for k in orders])).alias("rep2")).where("rep2 is not null")
-    return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    hubs = lists.groupBy("token").agg(F.count(F.lit(1)).alias("held"), *[
+        F.min(F.struct(F.hash("g", F.lit(k)).alias("h"), "g", "lo", "hi")).alias(f"hub{k}") for k in orders]).where("held > 1").drop("held")
+    first = lists.join(hubs, "token").groupBy("g").agg(*[
+        F.min(F.when(_possible_hub(F.col(f"hub{k}"), percent), F.col(f"hub{k}"))).alias(f"hub{k}") for k in orders])
+    found = first.select("g", F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"hub{k}.g") for k in orders])))).alias("g2"))
+    return found.select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct()
 
 
 def _possible_hub(hub: Column, percent: int) -> Column:
-    """Another class, not ruled out by the sizes alone."""
-    return (F.col("rep") != hub["rep2"]) & (
-        F.least(F.col("n_shingles"), hub["n2"]) * 100 >= F.greatest(F.col("n_shingles"), hub["n2"]) * percent)
+    """Another group, not ruled out by the sizes alone."""
+    return (F.col("g") != hub["g"]) & _fit((F.col("lo"), F.col("hi")), (hub["lo"], hub["hi"]), percent)
 
 
-def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, rep, n_shingles, component, long) of the lists whose members are not all in one component."""
-    at = postings.join(labels, "rep")
-    lists = (at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held"))
-             .where("lo < hi").select("token", (F.col("held") > LONG).alias("long")))
-    return at.join(lists, "token").select("token", "rep", "n_shingles", "component", "long")
+def _settled() -> Column:
+    """All members of two groups, their least and greatest components c1 and c2, are in one component."""
+    return (F.col("c1") == F.col("c2")) & (F.col("c12") == F.col("c22")) & (F.col("c1") == F.col("c12"))
+
+
+def _open_lists(lists: DataFrame, spans: DataFrame) -> DataFrame:
+    """(token, g, lo, hi, c1, c2, long) of the lists whose members are not all in one component."""
+    at = lists.join(spans, "g")
+    found = (at.groupBy("token").agg(F.min("c1").alias("low"), F.max("c2").alias("high"), F.count(F.lit(1)).alias("held"))
+             .where("low < high and held > 1").select("token", (F.col("held") > LONG).alias("long")))
+    return at.join(found, "token")
 
 
 def _short_pairs(here: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs (a, b) across components in lists of at most LONG members."""
-    other = here.select("token", *[F.col(c).alias(c + "2") for c in ("rep", "n_shingles", "component")])
-    near = F.least("n_shingles", "n_shingles2") * 100 >= F.greatest("n_shingles", "n_shingles2") * percent
-    found = here.join(other, "token").where("rep < rep2 and component <> component2").where(near)
-    return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    """All candidate pairs (g, g2) across components in lists of at most LONG groups."""
+    other = here.select("token", *[F.col(c).alias(c + "2") for c in ("g", "lo", "hi", "c1", "c2")])
+    near = _fit((F.col("lo"), F.col("hi")), (F.col("lo2"), F.col("hi2")), percent)
+    return here.join(other, "token").where((F.col("g") < F.col("g2")) & near & ~_settled()).select("g", "g2").distinct()
 
 
 def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -249,17 +271,18 @@ def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
                          (left * (100 + percent) >= F.col("size") * (2 * percent)).alias("later"))
 
 
-def _long_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components whose first common shingle leaves room for a link."""
-    at = prefixes.join(labels, "rep")
-    lists = at.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    here = durable(at.join(lists, "shingle"))
-    large = here.select(*[F.col(c).alias(c + "2") for c in ("shingle", "rep", "size", "left", "component")])
-    room = F.least("left", "left2") * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
-    order = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("rep") < F.col("rep2")))
-    near = (F.col("component") != F.col("component2")) & (F.col("size") * 100 >= F.col("size2") * percent)
-    found = here.where("later").hint("merge").join(large, (F.col("shingle") == F.col("shingle2")) & order & near & room)
-    return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+def _long_pairs(prefixes: DataFrame, placed: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, g2) across components with members whose first common shingle can leave room for a link."""
+    lists = prefixes.join(placed.select("rep", "g").hint("merge"), "rep").groupBy("shingle", "g").agg(
+        F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("left").alias("left"), F.max("later").alias("later"))
+    at = lists.join(spans, "g")
+    open_ = at.groupBy("shingle").agg(F.min("c1").alias("low"), F.max("c2").alias("high"), F.count(F.lit(1)).alias("held"))
+    here = durable(at.join(open_.where("low < high and held > 1").select("shingle"), "shingle"))
+    other = here.select(*[F.col(c).alias(c + "2") for c in ("shingle", "g", "lo", "hi", "left", "later", "c1", "c2")])
+    near = _fit((F.col("lo"), F.col("hi")), (F.col("lo2"), F.col("hi2")), percent) & (F.col("later") | F.col("later2"))
+    room = F.least("left", "left2") * (100 + percent) >= (F.col("lo") + F.col("lo2")) * percent
+    found = here.hint("merge").join(other, (F.col("shingle") == F.col("shingle2")) & (F.col("g") < F.col("g2")) & near & room & ~_settled())
+    return found.select("g", "g2").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -288,6 +311,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = durable(grouped(signed.withColumn("c", F.monotonically_increasing_id())))
     labels = signed.select("rep", F.col("rep").alias("component"))
 
+    codes = durable(group_signatures(signed, placed))
+    lists = durable(postings.join(placed.select("rep", "g").hint("merge"), "rep").groupBy("token", "g").agg(
+        F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")))
+
     def built(wanted: DataFrame) -> DataFrame:
         members = placed.join(wanted, "g").select("rep", "set_id", "g", "c")
         return durable(blocks_of(members_of(docs, members, width, id_col, text_col), percent))
@@ -297,16 +324,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             links = links.join(placed.select(F.col("c").alias(side), F.col("rep").alias("r" + side)), side)
         return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    met = _group_pairs(_colliding(_hub_pairs(postings, percent), signed), placed)
-    blocks = built(_either(met))
-    labels = connect(labels, named(blocks.select(F.inline("links")).union(opened(met.where("g <> g2"), blocks, percent))))
-    still = durable(_open_lists(postings, labels))
-    crowd = still.where("long").select("rep").distinct()
-    sets = durable(_full_sets(docs, signed.select("rep", "set_id").join(crowd, "rep"), width, id_col, text_col))
-    apart = _short_pairs(still.where("not long"), percent).union(_long_pairs(set_prefixes(sets, percent), labels, percent))
-    later = _group_pairs(_colliding(apart, signed), placed).join(met, ["g", "g2"], "left_anti")
+    met = durable(_colliding(_hub_pairs(lists, percent), codes))
+    blocks = built(_either(met).union(codes.where("tight").select("g")).distinct())
+    labels = connect(labels, named(blocks.select(F.inline("links")).union(opened(met, blocks, percent))))
+    spans = durable(placed.select("rep", "g").join(labels, "rep").groupBy("g").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2")))
+    still = durable(_open_lists(lists, spans))
+    crowd = placed.join(still.where("long").select("g").distinct(), "g").select("rep", "set_id")
+    sets = durable(_full_sets(docs, crowd, width, id_col, text_col))
+    apart = _short_pairs(still.where("not long"), percent).union(_long_pairs(set_prefixes(sets, percent), placed, spans, percent))
+    later = durable(_colliding(apart.distinct().join(met, ["g", "g2"], "left_anti"), codes))
     extra = built(_either(later).join(blocks.select("g"), "g", "left_anti"))
-    more = extra.select(F.inline("links")).union(opened(later.where("g <> g2"), blocks.union(extra), percent))
+    more = extra.select(F.inline("links")).union(opened(later, blocks.union(extra), percent))
     labels = connect(labels, named(more))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
