@@ -100,8 +100,8 @@ def _common(one: tuple, two: tuple) -> np.ndarray:
     return total
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that connect something not connected by the ones before."""
+def _forest(pairs: list[tuple[int, int]], known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """The pairs that connect something not connected by `known` or the ones before."""
     top: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -110,6 +110,8 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
             x = top[x]
         return x
 
+    for a, b in known:
+        top[root(b)] = root(a)
     kept = []
     for a, b in pairs:
         ra, rb = root(a), root(b)
@@ -119,11 +121,12 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _links(one: tuple, two: tuple, ids: list[int], ids2: list[int], percent: int) -> list[tuple[int, int]]:
+def _links(one: tuple, two: tuple, ids: list[int], ids2: list[int], percent: int,
+           known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     common = _common(one, two)
     sizes, sizes2 = np.asarray(one[0], float), np.asarray(two[0], float)
     found = np.argwhere(common * 100 >= (sizes[:, None] + sizes2[None, :] - common) * percent)
-    return _forest([(ids[a], ids2[b]) for a, b in found.tolist() if ids[a] != ids2[b]])
+    return _forest([(ids[a], ids2[b]) for a, b in found.tolist() if ids[a] != ids2[b]], known)
 
 
 _LINKS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -165,19 +168,20 @@ def blocks_of(members: DataFrame, percent: int) -> DataFrame:
 
 
 def opened(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): connecting links between the members of each pair of groups (g, g2)."""
-    fields = ("ids", "sizes", "tokens", "masks")
+    """(a, b): links between the members of each pair of groups (g, g2) that connect more than those inside the two do."""
+    fields = ("ids", "sizes", "tokens", "masks", "links")
     for at, end in (("g", ""), ("g2", "2")):
         pairs = pairs.join(blocks.select(F.col("g").alias(at), *[F.col(f).alias(f + end) for f in fields]).hint("merge"), at)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, ids2, sizes2 = (batch.column(k).to_pylist() for k in (0, 1, 4, 5))
+            ids, sizes, inside, ids2, sizes2, inside2 = (batch.column(k).to_pylist() for k in (0, 1, 4, 5, 6, 9))
             found = []
             for k in range(batch.num_rows):
-                tokens, tokens2 = (np.frombuffer(batch.column(c)[k].as_buffer(), U64) for c in (2, 6))
-                masks, masks2 = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (3, 7))
-                found += _links((sizes[k], tokens, masks), (sizes2[k], tokens2, masks2), ids[k], ids2[k], percent)
+                tokens, tokens2 = (np.frombuffer(batch.column(c)[k].as_buffer(), U64) for c in (2, 7))
+                masks, masks2 = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (3, 8))
+                found += _links((sizes[k], tokens, masks), (sizes2[k], tokens2, masks2), ids[k], ids2[k], percent,
+                                [(x["a"], x["b"]) for x in inside[k] + inside2[k]])
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return pairs.select(*fields, *[f + "2" for f in fields]).mapInArrow(each, "a bigint, b bigint")
