@@ -15,7 +15,7 @@ a posting key. A pair of classes with at least `MATCHES` equal coordinates is a
 
 Long posting lists are not paired out. Each list has a few hubs, the first groups by hash orders that all
 lists share, and each group is compared with its first hub in each order. Lists whose members have become
-connected are closed. What open lists still hold across components is settled exactly: short lists are paired out;
+connected are closed; in the others groups are cut into parts of one component each. What open lists still hold across components is settled exactly: short lists are paired out;
 the classes of long lists are posted by their full sets under the shingles by which a linked pair can first meet, from
 rare to frequent, so a group of near copies meets only in what few of its members share. All these pairs must have
 `MATCHES` collisions too and are confirmed on the full sets.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.blocks import blocks_of, grouped, members_of, opened
@@ -40,7 +40,7 @@ MATCHES = 33
 """A pair at similarity 0.8 has fewer equal coordinates with a probability below 1e-6."""
 HUBS = 10
 LONG = 64
-"""Open lists of more groups are not paired out but settled by rare shingles; both ways are exact."""
+"""Open lists of more parts are not paired out but settled by rare shingles; both ways are exact."""
 SLOTS = 1 << 19
 """Bound of the table of hashed ids by which texts and sets are filtered before they are shuffled."""
 _COLUMNS = 4096
@@ -231,24 +231,36 @@ def _possible_hub(hub: Column, percent: int) -> Column:
     return (F.col("g") != hub["g"]) & _fit((F.col("lo"), F.col("hi")), (hub["lo"], hub["hi"]), percent)
 
 
-def _settled() -> Column:
-    """All members of two groups, their least and greatest components c1 and c2, are in one component."""
-    return (F.col("c1") == F.col("c2")) & (F.col("c12") == F.col("c22")) & (F.col("c1") == F.col("c12"))
+def split_groups(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, set_id, c, p, component, g, members): the groups p cut into parts g of one component each."""
+    part = Window.partitionBy("p", "component")
+    at = placed.select("rep", "set_id", "c", F.col("g").alias("p")).join(labels.dropDuplicates(["rep"]), "rep")
+    return at.withColumn("g", F.min("c").over(part)).withColumn("members", F.count(F.lit(1)).over(part))
 
 
-def _open_lists(lists: DataFrame, spans: DataFrame) -> DataFrame:
-    """(token, g, lo, hi, c1, c2, long) of the lists whose members are not all in one component."""
-    at = lists.join(spans, "g")
-    found = (at.groupBy("token").agg(F.min("c1").alias("low"), F.max("c2").alias("high"), F.count(F.lit(1)).alias("held"))
-             .where("low < high and held > 1").select("token", (F.col("held") > LONG).alias("long")))
+def _open_lists(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """(token, g, lo, hi, p, members, component, long) of the lists whose members are not all in one component."""
+    at = postings.join(parts, "rep").groupBy("token", "g").agg(
+        F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), *[F.first(c).alias(c) for c in ("p", "members", "component")])
+    found = (at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held"))
+             .where("low < high").select("token", (F.col("held") > LONG).alias("long")))
     return at.join(found, "token")
 
 
-def _short_pairs(here: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs (g, g2) across components in lists of at most LONG groups."""
-    other = here.select("token", *[F.col(c).alias(c + "2") for c in ("g", "lo", "hi", "c1", "c2")])
+def _apart(percent: int) -> Column:
+    """Parts of two groups and of two components that could hold a link, the one with fewer members first."""
+    first = (F.col("members") < F.col("members2")) | ((F.col("members") == F.col("members2")) & (F.col("g") < F.col("g2")))
     near = _fit((F.col("lo"), F.col("hi")), (F.col("lo2"), F.col("hi2")), percent)
-    return here.join(other, "token").where((F.col("g") < F.col("g2")) & near & ~_settled()).select("g", "g2").distinct()
+    return (F.col("component") != F.col("component2")) & (F.col("p") != F.col("p2")) & first & near
+
+
+_PAIR = ("g", "g2", "p", "p2")
+
+
+def _short_pairs(here: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (g, g2, p, p2) across components in lists of at most LONG parts."""
+    other = here.select("token", *[F.col(c).alias(c + "2") for c in ("g", "lo", "hi", "p", "members", "component")])
+    return here.join(other, "token").where(_apart(percent)).select(*_PAIR).distinct()
 
 
 def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -271,18 +283,16 @@ def set_prefixes(sets: DataFrame, percent: int) -> DataFrame:
                          (left * (100 + percent) >= F.col("size") * (2 * percent)).alias("later"))
 
 
-def _long_pairs(prefixes: DataFrame, placed: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, g2) across components with members whose first common shingle can leave room for a link."""
-    lists = prefixes.join(placed.select("rep", "g").hint("merge"), "rep").groupBy("shingle", "g").agg(
-        F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("left").alias("left"), F.max("later").alias("later"))
-    at = lists.join(spans, "g")
-    open_ = at.groupBy("shingle").agg(F.min("c1").alias("low"), F.max("c2").alias("high"), F.count(F.lit(1)).alias("held"))
-    here = durable(at.join(open_.where("low < high and held > 1").select("shingle"), "shingle"))
-    other = here.select(*[F.col(c).alias(c + "2") for c in ("shingle", "g", "lo", "hi", "left", "later", "c1", "c2")])
-    near = _fit((F.col("lo"), F.col("hi")), (F.col("lo2"), F.col("hi2")), percent) & (F.col("later") | F.col("later2"))
-    room = F.least("left", "left2") * (100 + percent) >= (F.col("lo") + F.col("lo2")) * percent
-    found = here.hint("merge").join(other, (F.col("shingle") == F.col("shingle2")) & (F.col("g") < F.col("g2")) & near & room & ~_settled())
-    return found.select("g", "g2").distinct()
+def _long_pairs(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, g2, p, p2) across components with members whose first common shingle can leave room for a link."""
+    at = prefixes.join(parts.hint("merge"), "rep").groupBy("shingle", "g").agg(
+        F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("left").alias("left"), F.max("later").alias("later"),
+        *[F.first(c).alias(c) for c in ("p", "members", "component")])
+    lists = at.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    here = durable(at.join(lists, "shingle"))
+    other = here.select(*[F.col(c).alias(c + "2") for c in here.columns])
+    room = (F.col("later") | F.col("later2")) & (F.least("left", "left2") * (100 + percent) >= (F.col("lo") + F.col("lo2")) * percent)
+    return here.hint("merge").join(other, (F.col("shingle") == F.col("shingle2")) & _apart(percent) & room).select(*_PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -315,8 +325,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     lists = durable(postings.join(placed.select("rep", "g").hint("merge"), "rep").groupBy("token", "g").agg(
         F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")))
 
-    def built(wanted: DataFrame) -> DataFrame:
-        members = placed.join(wanted, "g").select("rep", "set_id", "g", "c")
+    def built(wanted: DataFrame, members: DataFrame) -> DataFrame:
+        members = members.join(wanted, "g").select("rep", "set_id", "g", "c")
         return durable(blocks_of(members_of(docs, members, width, id_col, text_col), percent))
 
     def named(links: DataFrame) -> DataFrame:
@@ -325,18 +335,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
     met = durable(_colliding(_hub_pairs(lists, percent), codes))
-    blocks = built(_either(met).union(codes.where("tight").select("g")).distinct())
+    blocks = built(_either(met).union(codes.where("tight").select("g")).distinct(), placed)
     labels = connect(labels, named(blocks.select(F.inline("links")).union(opened(met, blocks, percent))))
-    spans = durable(placed.select("rep", "g").join(labels, "rep").groupBy("g").agg(
-        F.min("component").alias("c1"), F.max("component").alias("c2")))
-    still = durable(_open_lists(lists, spans))
-    crowd = placed.join(still.where("long").select("g").distinct(), "g").select("rep", "set_id")
+    parts = durable(split_groups(placed, labels))
+    still = durable(_open_lists(postings, parts))
+    crowd = parts.join(still.where("long").select("g").distinct(), "g").select("rep", "set_id")
     sets = durable(_full_sets(docs, crowd, width, id_col, text_col))
-    apart = _short_pairs(still.where("not long"), percent).union(_long_pairs(set_prefixes(sets, percent), placed, spans, percent))
-    later = durable(_colliding(apart.distinct().join(met, ["g", "g2"], "left_anti"), codes))
-    extra = built(_either(later).join(blocks.select("g"), "g", "left_anti"))
-    more = extra.select(F.inline("links")).union(opened(later, blocks.union(extra), percent))
-    labels = connect(labels, named(more))
+    apart = _short_pairs(still.where("not long"), percent).union(_long_pairs(set_prefixes(sets, percent), parts, percent))
+    tried = met.select(F.col("g").alias("low"), F.col("g2").alias("high"))
+    apart = (apart.distinct().withColumn("low", F.least("p", "p2")).withColumn("high", F.greatest("p", "p2"))
+             .join(tried, ["low", "high"], "left_anti").select("g", "g2"))
+    later = durable(_colliding(apart, group_signatures(signed, parts)))
+    labels = connect(labels, named(opened(later, built(_either(later), parts), percent)))
     known = classes.select("set_id", "rep").join(labels.where("rep <> component"), "rep", "left")
     component = F.when(F.col("set_id").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return (rows.select("id", "n_shingles", "set_id").join(known, "set_id", "left")
