@@ -22,18 +22,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.ledger(docs).where(rules.passes("full-2")).drop("ledger")
 
 
+def _free(docs: DataFrame) -> str:
+    """A column name that `docs` does not have."""
+    name = "row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. A null id is in no group."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    unnumbered = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return rest.withColumn("__row", unnumbered).dropDuplicates(["doc_id", "__row"]).drop("__row")
+    """One document of each near-duplicate group: the one with the smallest id, a null id last.
+
+    Rows are told apart by id and text: of two texts with one id each is judged on its own, and of rows equal in both one
+    stays. A row with a null id is judged like any other. Texts without words are in no group.
+    """
+    key = _free(docs)
+    parts = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "text": F.xxhash64("text")}  # no null within
+    rows = docs.withColumn(key, F.struct(*[v.alias(k) for k, v in parts.items()]))
+    dropped = minhash.near_duplicates(rows, id_col=key).where("not kept").select(key).distinct()
+    return rows.join(dropped, key, "left_anti").dropDuplicates([key]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    leaks = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a benchmark passage. Rows are told apart by id and text, so null and repeated ids are judged too."""
+    key = _free(docs)
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    leaks = decontam.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col=key).select(key).distinct()
+    return rows.join(leaks, key, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
