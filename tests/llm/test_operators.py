@@ -389,6 +389,26 @@ def test_pipeline(spark, prose, tmp_path):
         assert docs.columns == frame.columns and docs.schema.simpleString() == frame.schema.simpleString()
 
 
+def test_pipeline_rows(spark, prose, tmp_path):
+    """Null ids, two texts under one id, repeated rows and clashing names: each row is judged by its own text."""
+    import corpus_pipeline
+
+    bench, one, two = prose(40, 800), prose(100, 801), prose(100, 802)
+    near = " ".join([*one.split()[:-1], "edit"])
+    rows = [(7, one), (7, two), (9, near), (None, near), (None, prose(80, 803) + " " + bench), (None, prose(70, 804)), (5, two), (5, two), (8, ""), (8, None)]
+    schema = "doc_id long, text string, row_key int, rep string, lang string"
+    frame = spark.createDataFrame([(i, t, k, "r", "en") for k, (i, t) in enumerate(rows)], schema)
+    kept = corpus_pipeline.near_dedup(spark, frame, str(tmp_path))
+    assert kept.columns == frame.columns
+    left = sorted(r.row_key for r in kept.collect())
+    assert [k for k in left if k not in (6, 7)] == [0, 4, 5, 8, 9] and len(left) == 6
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.decontaminate(spark, frame, str(tmp_path))
+    assert sorted(r.row_key for r in clean.collect()) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontaminate):
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registered_queries_match_sql(spark):
     from compare import check, database
     from spanwright.llm.registered import REGISTERED
