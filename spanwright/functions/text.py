@@ -94,9 +94,9 @@ def shingles(c: Column, k: int = 8) -> Column:
     ).otherwise(F.array().cast("array<string>")))
 
 
-def clean_span(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Shrink a span over white space at both ends; an all-blank span becomes empty."""
-    piece = F.substring(text, start + 1, end - start)
+def clean_span(text, start: Column, end: Column) -> tuple[Column, Column]:
+    """Shrink a span over white space at both ends; an all-blank span becomes empty. `text` answers `slice`."""
+    piece = text.slice(start, end)
     left = F.length(F.regexp_extract(piece, f"^{WS}+", 0))
     right = F.length(F.regexp_extract(piece, f"{WS}+$", 0))
     return start + left, F.greatest(end - right, start + left)

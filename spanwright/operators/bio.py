@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright import vocab
+from spanwright.functions.lines import Text
 from spanwright.functions.text import clean_span
 from spanwright.operators.concepts import overlap_pairs, with_text
 
@@ -61,10 +62,9 @@ def decode(docs: DataFrame, labelled: DataFrame, types=vocab.TYPES) -> DataFrame
             .agg(F.first("type").alias("type"), F.min_by("cs", "idx").alias("cs"),
                  F.max_by("ce", "idx").alias("ce")))
 
-    def trimmed(text: Column, c: Column) -> Column:
+    def trimmed(text: Text, c: Column) -> Column:
         s, e = clean_span(text, c["cs"], c["ce"])
-        return F.struct(s.alias("start"), e.alias("end"),
-                        F.substring(text, s + 1, e - s).alias("text"))
+        return F.struct(s.alias("start"), e.alias("end"), text.slice(s, e).alias("text"))
 
     spans = with_text(docs, runs, span=trimmed).filter("span.end > span.start")
     none = F.array().cast("array<string>")

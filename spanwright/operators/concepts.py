@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright import vocab
+from spanwright.functions.lines import Text, cut, pieced
 
 BUCKET = 256  # code points per interval-join bucket
 
@@ -24,16 +25,17 @@ def eligible_for_assertions(c: Column | str = "type") -> Column:
 
 
 def with_text(docs: DataFrame, concepts: DataFrame,
-              **exprs: Callable[[Column, Column], Column]) -> DataFrame:
+              **exprs: Callable[[Text, Column], Column]) -> DataFrame:
     """Add columns computed from (document text, concept struct).
 
     The concepts of a document travel as one array next to its text, so the text is shuffled
-    once per document instead of once per concept; only the small results leave the row.
+    once per document instead of once per concept; only the small results leave the row. The
+    text is cut for random access below the join, so a concept costs what it reads of the text.
     """
     names = [n for n in concepts.columns if n != "doc_id"]
     packed = concepts.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("_members"))
-    joined = docs.select("doc_id", F.col("text").alias("_doc_text")).join(packed, "doc_id")
-    text = F.col("_doc_text")
+    joined = cut(docs).join(packed, "doc_id")
+    text = pieced()
     kept = [n for n in names if n not in exprs]
     return joined.select("doc_id", F.inline(F.transform("_members", lambda c: F.struct(
         *[c[n].alias(n) for n in kept],
@@ -49,14 +51,14 @@ def attach_docs(docs: DataFrame, concepts: DataFrame) -> DataFrame:
     return filled.withColumn("concepts", F.coalesce("concepts", empty))
 
 
-def validation_errors(text: Column, c: Column) -> Column:
+def validation_errors(text: Text, c: Column) -> Column:
     """Array of error names; empty when the concept is valid for its document."""
-    inside = (c["start"] >= 0) & (c["start"] <= c["end"]) & (c["end"] <= F.length(text))
+    inside = (c["start"] >= 0) & (c["start"] <= c["end"]) & (c["end"] <= text.length())
     known = F.array(*[F.lit(a) for a in vocab.ASSERTIONS])
     checks = F.array(
         F.when(~c["type"].isin(*vocab.TYPES), "bad_type"),
         F.when(~inside, "out_of_range").when(
-            F.substring(text, c["start"] + 1, c["end"] - c["start"]) != c["text"], "text_mismatch"),
+            text.slice(c["start"], c["end"]) != c["text"], "text_mismatch"),
         F.when(F.exists(c["assertions"], lambda a: ~F.array_contains(known, a)), "bad_assertion"),
         F.when(F.size(c["assertions"]) > 3, "too_many_assertions"),
         F.when((F.size(c["candidates"]) > 0) & ~eligible_for_codes(c["type"]), "codes_not_allowed"),

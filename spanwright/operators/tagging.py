@@ -109,7 +109,7 @@ def longest_first(hits: DataFrame) -> DataFrame:
 def slice_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Fill the raw text of spans and the empty label arrays."""
     sliced = with_text(docs, spans,
-                       text=lambda t, c: F.substring(t, c["start"] + 1, c["end"] - c["start"]))
+                       text=lambda t, c: t.slice(c["start"], c["end"]))
     none = F.array().cast("array<string>")
     return sliced.select("doc_id", "cid", "text", "type", "start", "end",
                          none.alias("assertions"), none.alias("candidates"))
