@@ -7,6 +7,7 @@ distinct query. hits(key, rank, code, score, description) with 0-based rank.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwright.functions.text import tokens
-from spanwright.session import durable
+from spanwright.session import broadcast_if_small, durable
 
 # Okapi constants, over-fetch factor and fusion constant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -118,19 +119,39 @@ def _score_join(terms: DataFrame, impacts: DataFrame) -> DataFrame:
             .groupBy("key", "ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("s")))
 
 
+def number_entries(entries: DataFrame) -> DataFrame:
+    """(ord, slot): entries numbered from 0 by ord, range by range.
+
+    Entries go to ranges of ord, each range is numbered by itself, and the counts of the ranges before it (one number
+    per shuffle partition) are added.
+    """
+    ranges = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(entries.select("ord").repartitionByRange(ranges, "ord").withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["count"] for r in placed.groupBy("range").count().collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0) + 1))]
+    own = F.row_number().over(Window.partitionBy("range").orderBy("ord")) - 1
+    return placed.select("ord", (F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("range")) + own).alias("slot"))
+
+
 def _zero_fill(queries: DataFrame, scored: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
-    """Lowest-ord entries without any query term, for queries with fewer than `depth` hits.
+    """The `depth` lowest-ord entries without any query term, for queries with fewer than `depth` hits.
 
-    A query with m scored entries, of whatever sign, blocks at most m of the first `depth + m`.
+    The numbers of a query's scored entries, whatever their sign, are sorted; the free numbers are the gaps between
+    them, and only the gaps that hold the first `depth` free numbers are listed.
     """
-    hits = scored.groupBy("key").agg(F.count_if(F.col("score") > 0).alias("n"), F.count("*").alias("m"))
-    short = queries.select("key").join(hits, "key", "left").fillna(0, ["n", "m"]).filter(F.col("n") < depth)
-    size = depth + (short.agg(F.max("m")).first()[0] or 0)
-    pool = (entries.select("ord").orderBy("ord").limit(size)
-            .withColumn("slot", F.row_number().over(Window.orderBy("ord")) - 1))
-    slots = short.select("key", F.explode(F.sequence(F.lit(0), (F.col("m") + depth - 1).cast("int"))).alias("slot"))
-    return (slots.join(pool, "slot").join(scored.select("key", "ord"), ["key", "ord"], "left_anti")
-            .select("key", "ord", F.lit(0.0).alias("score")))
+    hits = scored.groupBy("key").agg(F.count_if(F.col("score") > 0).alias("n"))
+    short = durable(queries.select("key").join(hits, "key", "left").fillna(0, ["n"]).filter(F.col("n") < depth).select("key"))
+    slots = durable(number_entries(entries))
+    total = slots.count()
+    taken = scored.join(short, "key", "left_semi").join(slots, "ord").select("key", "slot")
+    ends = taken.unionByName(short.select("key", F.lit(total).cast("long").alias("slot")))
+    w = Window.partitionBy("key").orderBy("slot")
+    gaps = (ends.withColumn("at", F.coalesce(F.lag("slot").over(w) + 1, F.lit(0).cast("long")))
+            .withColumn("free", F.col("at") - (F.row_number().over(w) - 1))  # free numbers before this gap
+            .withColumn("to", F.least(F.col("slot"), F.col("at") + depth - F.col("free")) - 1).filter("at <= to"))
+    wanted = durable(gaps.select("key", F.explode(F.sequence("at", "to")).alias("slot")))
+    pool = slots.join(wanted.select("slot").distinct(), "slot", "left_semi")
+    return wanted.join(broadcast_if_small(pool), "slot").select("key", "ord", F.lit(0.0).alias("score"))
 
 
 def best_per_code(ranked: DataFrame, k: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Cases that earlier versions answered wrongly."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from spanwright.functions.context import parse_labels
@@ -30,6 +32,25 @@ def test_zero_fill_has_no_pool(spark):
     assert [r["ord"] for r in fill] == [1300, 1301, 1302, 1303, 1304]
 
 
+def test_zero_fill_lists_the_first_free_entries(spark):
+    """Against brute force: gaps at both ends, ords with holes, queries without hits, with all entries, with enough hits."""
+    rng, depth = random.Random(4), 6
+    ords = sorted(rng.sample(range(1000), 90))
+    taken = {f"q{i}": rng.sample(ords, rng.choice((0, 1, 5, 30, 85, 90))) for i in range(40)} | {"all": ords, "head": ords[:7], "none": []}
+    score = {(q, o): rng.choice((-0.5, 0.0, 0.0, 0.4)) if q != "head" else 0.4 for q, os in taken.items() for o in os}
+    scored = spark.createDataFrame([(*k, v) for k, v in score.items()], "key string, ord int, score double")
+    entries = spark.createDataFrame([(o,) for o in rng.sample(ords, len(ords))], "ord int")
+    got = {}
+    for r in retrieval._zero_fill(spark.createDataFrame([(q,) for q in taken], "key string"), scored, entries, depth).collect():
+        got.setdefault(r["key"], []).append(r["ord"])
+    short = [q for q, os in taken.items() if sum(score[q, o] > 0 for o in os) < depth]
+    want = {q: [o for o in ords if o not in taken[q]][:depth] for q in short}
+    assert {q: sorted(os) for q, os in got.items()} == {q: os for q, os in want.items() if os}
+    numbers = retrieval.number_entries(entries).orderBy("ord").collect()
+    assert [(r["ord"], r["slot"]) for r in numbers] == [(o, n) for n, o in enumerate(ords)]
+    assert retrieval.number_entries(entries.limit(0)).count() == 0
+
+
 def test_model_cache_hits_and_frees():
     def loader(n):
         return lambda: (lambda: n)
