@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanwright.functions.batches import lists_of_tuples
 from spanwright.functions.text import match_key
 from spanwright.operators.concepts import seen_at, with_text
 from spanwright.session import BROADCAST_BYTES, broadcast_if_small, measured_bytes
@@ -51,9 +52,11 @@ def _candidate_udf(lengths_by_head: dict[str, list[int]] | None, any_lengths: li
             blocked = wordlike
         return found
 
-    @F.pandas_udf(_MATCHES)
-    def candidates(s: pd.Series) -> pd.Series:
-        return s.map(scan)
+    fields = [pa.field("start", pa.int32()), pa.field("phrase", pa.string())]
+
+    @F.arrow_udf(_MATCHES)
+    def candidates(texts: pa.Array) -> pa.Array:
+        return lists_of_tuples(texts, lambda chunk: [scan(low) for low in chunk], fields)
 
     return candidates
 

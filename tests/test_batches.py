@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanwright.functions import batches
-from spanwright.operators import models
+from spanwright.operators import models, tagging
 from spanwright.plans.derived import word_tokenizer
 
 FIELDS = [pa.field("id", pa.int32()), pa.field("cs", pa.int32())]
@@ -47,3 +47,9 @@ def test_tokenizer_sees_bounded_chunks(spark):
     rows = out.select(F.size("t").alias("n"), F.col("t")[399].alias("last"), F.col("t").isNull().alias("none")).collect()
     assert sum(r["none"] for r in rows) == 12
     assert {(r["n"], r["last"]["id"], r["last"]["cs"], r["last"]["ce"]) for r in rows if not r["none"]} == {(400, 3, 1396, 1399)}
+
+
+def test_tag_passes_over_null_texts(spark):
+    docs = spark.createDataFrame([(1, "big cat"), (2, None), (3, "")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("cat", "T", (1, "1", 0))], "phrase string, type string, rank struct<number:long,doc_id:string,cid:int>")
+    assert [(r["doc_id"], r["start"], r["text"]) for r in tagging.tag(docs, phrases).collect()] == [(1, 4, "cat")]
