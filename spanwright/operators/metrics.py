@@ -172,9 +172,12 @@ def tune_assertions(docs: DataFrame, scored: DataFrame, mode: str = "concept_fir
     weights = blend(mode)
     points = tuple(dict.fromkeys([*grid, *start]))
     names = F.array(*[F.lit(a) for a in vocab.ASSERTIONS])
-    rows = scored.filter(eligible_for_assertions()).select(
-        "doc_id", "start", "end", "type", "assertions",
-        F.inline(F.arrays_zip(names.alias("value"), F.col("p").alias("prob"))))
+    # one narrow shuffle by document; the counts of all labels, modes and thresholds then stay in their task
+    partitions = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = scored.filter(eligible_for_assertions()).select(
+        "doc_id", "start", "end", "type", "assertions", "p").repartition(partitions, "doc_id")
+    rows = slim.select("doc_id", "start", "end", "type", "assertions",
+                       F.inline(F.arrays_zip(names.alias("value"), F.col("p").alias("prob"))))
     items = rows.withColumn("p", F.lit(1)).withColumn(
         "g", F.size(F.filter("assertions", lambda a: a == F.col("value"))))
     counts = _grid_counts(_keyed_by_mode(items, weights), ["doc_id", "mode", "value"], points)

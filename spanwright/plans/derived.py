@@ -125,7 +125,10 @@ def order_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_gold(spark: SparkSession, sf: str) -> DataFrame:
     """One concept per order line; the document is the order."""
-    x = _order_lines(spark, sf)
+    return _gold(_order_lines(spark, sf))
+
+
+def _gold(x: DataFrame, *more: Column) -> DataFrame:
     key, none = F.col("l_partkey"), F.array().cast("array<string>")
     ctype = _nth_type(key % 5)
     codes = F.filter(F.array(F.concat(F.lit("C"), (key % 50).cast("string")),
@@ -137,7 +140,7 @@ def order_gold(spark: SparkSession, sf: str) -> DataFrame:
         ctype.alias("type"), start.alias("start"), (start + F.length("p_name")).alias("end"),
         _labels((F.col("l_returnflag") == "R", "isNegated"), (F.col("l_suppkey") % 10 == 0, "isFamily"),
                 (F.col("l_linestatus") == "F", "isHistorical")).alias("assertions"),
-        F.when(ctype.isin(*vocab.TYPES_WITH_CANDIDATES) & (key % 4 != 0), codes).otherwise(none).alias("candidates"))
+        F.when(ctype.isin(*vocab.TYPES_WITH_CANDIDATES) & (key % 4 != 0), codes).otherwise(none).alias("candidates"), *more)
 
 
 def order_pred(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,13 +161,16 @@ def order_pred(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold concepts with a made probability per label (p), a gate probability and picked codes."""
-    x = numbered_lines(spark, sf).select(
-        F.col("l_orderkey").alias("doc_id"), "cid",
-        F.array((F.col("l_quantity") % 11) / 10, (F.col("l_suppkey") % 9) / 8, (F.col("l_partkey") % 13) / 12).alias("p"),
-        ((F.col("l_quantity") % 20) / 20).alias("gate"), F.col("l_partkey").alias("k"))
-    picked = F.array(F.concat(F.lit("C"), (F.when(F.col("k") % 3 == 0, F.col("k") + 1).otherwise(F.col("k")) % 50).cast("string")))
-    return order_gold(spark, sf).join(x, ["doc_id", "cid"]).withColumn("picked", picked).drop("k")
+    """Gold concepts with a made probability per label (p), a gate probability and picked codes.
+
+    Both come from the same order line, so they are read from it together.
+    """
+    k = F.col("l_partkey")
+    return _gold(
+        _order_lines(spark, sf).filter("l_orderkey IS NOT NULL"),
+        F.array((F.col("l_quantity") % 11) / 10, (F.col("l_suppkey") % 9) / 8, (k % 13) / 12).alias("p"),
+        ((F.col("l_quantity") % 20) / 20).alias("gate"),
+        F.array(F.concat(F.lit("C"), (F.when(k % 3 == 0, k + 1).otherwise(k) % 50).cast("string"))).alias("picked"))
 
 
 def order_spans(spark: SparkSession, sf: str) -> DataFrame:
