@@ -1,4 +1,4 @@
-"""Exact top-k retrieval: BM25 with score bounds, dense block products, rank fusion.
+"""Exact top-k retrieval: BM25 by blocks of queries and entries, dense block products, rank fusion.
 
 entries(ord, code, description, norm[, vector]); queries(key, norm[, vector]), one row per
 distinct query. hits(key, rank, code, score, description) with 0-based rank.
@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +26,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 OVERFETCH = 3
 RRF_K = 60
 
-SALTS = 16          # slices of a hot posting list
-HOT_POSTINGS = 100_000
+QUERY_ROWS = 4096          # queries, entries and postings of a block
+BLOCK_ENTRIES = 65_536
+HOT_POSTINGS = 2_000_000
 
 
 def query_keys(mentions: DataFrame, norm: str = "norm") -> DataFrame:
@@ -39,84 +43,104 @@ def top_ranked(df: DataFrame, by: list[str], order: list[Column], n: int, name:
         name, F.col("_n") - 1).drop("_n")
 
 
-def bm25_index(entries: DataFrame) -> DataFrame:
-    """impacts(term, ord, w): idf-weighted, length-normalised score of one query occurrence.
+class Index(NamedTuple):
+    """Tokens of the entries and the weight of every term; kept for several searches."""
 
-    Statistics are joined as one-row or per-term aggregates; the result is kept for reuse.
+    split: DataFrame   # (ord, t, dl)
+    idf: DataFrame     # (term, df, idf)
+    length: float      # mean number of tokens
+
+
+def bm25_index(entries: DataFrame) -> Index:
+    """Tokens per entry and idf per term, from one reading of the entries.
+
+    A term is counted once per entry, so the counts are combined where the entries are read and only one row per term
+    and task is shuffled. Postings are made per search, for the terms of its queries.
     """
-    split = durable(entries.select("ord", tokens(F.col("norm")).alias("t")))
+    split = durable(entries.select("ord", tokens(F.col("norm")).alias("t")).withColumn("dl", F.greatest(F.size("t"), F.lit(0))))
     totals = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl")).first()
     n_docs, avgdl = totals["n_docs"], totals["avgdl"] or 1.0
-    postings = durable(split.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-                    .groupBy("term", "ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", raw)
-    mean_idf = idf.agg(F.avg("idf")).first()[0] or 0.0
+    counted = durable(split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term")
+                      .agg(F.count("*").alias("df")).withColumn("idf", raw))
+    mean_idf = counted.agg(F.avg("idf")).first()[0] or 0.0
     floor = F.when(F.col("idf") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("idf"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
-    return durable(postings.join(idf.select("term", floor.alias("idf"), "df"), "term")
-                .select("term", "ord", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"), "df"))
+    return Index(split, counted.select("term", "df", floor.alias("idf")), avgdl)
 
 
-def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, entries: DataFrame, k: int = 20, index: Index | None = None) -> DataFrame:
     """Exact BM25 top-k, including the zero-score entries that fill up short result lists.
 
-    Score bounds keep hot terms from pairing every query with every entry: the best postings
-    of each term give a lower bound of the last useful score, and terms whose summed upper
-    bounds stay below it cannot bring in a new entry, so they only complete the scores of
-    entries found through the other terms. Nothing is dropped that could reach the top.
+    Entries keep their postings together, so a score is summed where its entry lies and no (query, entry) pair is
+    shuffled: queries and entries are cut into blocks of bounded size, a block pair is one task that adds the posting
+    lists of a query as arrays, and only the best entries per query leave it. Only terms that some query holds are posted.
     """
-    impacts = bm25_index(entries) if index is None else index
+    index = bm25_index(entries) if index is None else index
     depth = OVERFETCH * k
-    queries = durable(queries)
-    qterms = durable(queries.select("key", F.explode(tokens(F.col("norm"))).alias("term"))
-                  .groupBy("key", "term").agg(F.count("*").alias("qtf")))
-
-    stats = impacts.groupBy("term").agg(F.max("w").alias("top"), F.min("w").alias("low"))
-    champions = top_ranked(impacts, ["term"], [F.desc("w"), F.asc("ord")], depth, "pos")
-    partial = (qterms.join(champions.select("term", "ord", "w"), "term")
-               .groupBy("key", "ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("s")))
-    bound = (top_ranked(partial, ["key"], [F.desc("s")], depth)
-             .groupBy("key").agg(F.when(F.count("*") == depth, F.min("s")).alias("bound")))
-
-    w = Window.partitionBy("key").orderBy("ub", "term")
-    judged = (qterms.join(stats, "term").join(bound, "key", "left")
-              .withColumn("ub", F.col("qtf") * F.col("top"))
-              .withColumn("cum", F.sum("ub").over(w))
-              .withColumn("worst", F.min("low").over(Window.partitionBy("key"))))
-    safe = F.col("bound").isNotNull() & (F.col("worst") >= 0)
-    judged = durable(judged.withColumn("essential", ~safe | (F.col("cum") >= F.col("bound") - 1e-6)))
-
-    found = durable(_score_join(judged.filter("essential").select("key", "term", "qtf"), impacts))
-    rest = judged.filter(~F.col("essential"))
-    # The partial scores give a sharper bound; entries that stay below it even with every
-    # remaining term are finished here. Keys without remaining terms keep all their entries.
-    reached = (top_ranked(found, ["key"], [F.desc("s")], depth).groupBy("key")
-               .agg(F.when(F.count("*") == depth, F.min("s")).alias("reached")))
-    slack = rest.groupBy("key").agg(F.max("cum").alias("slack")).join(reached, "key")
-    alive = durable(found.join(slack, "key", "left").filter(
-        F.col("slack").isNull() | F.col("reached").isNull()
-        | (F.col("s") + F.col("slack") >= F.col("reached") - 1e-6)))
-    extra = (alive.select("key", "ord").join(rest.select("key", "term", "qtf"), "key")
-             .join(impacts.select("term", "ord", "w"), ["term", "ord"])
-             .select("key", "ord", (F.col("qtf") * F.col("w")).alias("s")))
-    scored = durable(alive.select("key", "ord", "s").unionByName(extra)
-                  .groupBy("key", "ord").agg(F.round(F.sum("s"), 9).alias("score")))
-    padded = scored.unionByName(_zero_fill(queries, scored, entries, depth))
-    ranked = top_ranked(padded, ["key"], [F.desc("score"), F.asc("ord")], depth, "pos")
-    return best_per_code(ranked.join(entries.select("ord", "code", "description"), "ord"), k)
-
+    asked = durable(queries.select("key", tokens(F.col("norm")).alias("t")))
+    known = asked.select(F.explode("t").alias("term")).distinct().join(index.idf, "term")
+    terms = durable(known.withColumn("tid", F.monotonically_increasing_id()))
+    size = asked.count(), index.split.count(), terms.agg(F.sum("df")).first()[0] or 0
+    n_q = max(1, math.ceil(size[0] / QUERY_ROWS))
+    n_e = max(1, math.ceil(size[1] / BLOCK_ENTRIES), min(size[1], math.ceil(size[2] / HOT_POSTINGS)))
+    terms = broadcast_if_small(terms)
 
-def _score_join(terms: DataFrame, impacts: DataFrame) -> DataFrame:
-    """sum(qtf * w) per (key, ord); long posting lists are cut into slices over several tasks."""
-    hot = F.col("df") > HOT_POSTINGS
-    lists = impacts.withColumn("slice", F.when(hot, F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    sizes = impacts.groupBy("term").agg(F.first("df").alias("df"))
-    spread = terms.join(sizes, "term").withColumn("slice", F.explode(F.when(
-        hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return (spread.select("key", "term", "qtf", "slice")
-            .join(lists.select("term", "slice", "ord", "w"), ["term", "slice"])
-            .groupBy("key", "ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("s")))
+    def blocks(df: DataFrame, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
+        return df.withColumn(mine, F.pmod(F.xxhash64(name), F.lit(own)).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    # a row without a term stands for each query and each entry, also for those that share no term
+    alone = [F.lit(None).cast("long").alias("tid"), F.lit(0.0).alias("w")]
+    left = (asked.select("key", F.explode("t").alias("term")).groupBy("key", "term").agg(F.count("*").alias("qtf"))
+            .join(terms.select("term", "tid"), "term").select("key", F.col("tid").alias("tid"), F.col("qtf").cast("double").alias("w"))
+            .unionByName(asked.select("key", *alone)))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.length))
+    right = (index.split.select("ord", "dl", F.explode("t").alias("term")).join(terms.select("term", "tid", "idf"), "term")
+             .groupBy("ord", "tid").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"))
+             .select("ord", F.col("tid").alias("tid"), (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+             .unionByName(index.split.select("ord", *alone)))
+    schema = T.StructType([left.schema["key"], right.schema["ord"], T.StructField("score", T.DoubleType())])
+    parts = (blocks(left, "key", n_q, n_e, "qb", "eb").groupBy("qb", "eb")
+             .cogroup(blocks(right, "ord", n_e, n_q, "eb", "qb").groupBy("qb", "eb")).applyInArrow(_block_scores(depth), schema))
+    ranked = durable(top_ranked(parts, ["key"], [F.desc("score"), F.asc("ord")], depth, "pos"))
+    return best_per_code(broadcast_if_small(ranked).join(entries.select("ord", "code", "description"), "ord"), k)
+
+
+def _block_scores(depth: int):
+    """The best `depth` entries of one block for every query of one block: score, then ord."""
+
+    def run(q: pa.Table, e: pa.Table) -> pa.Table:
+        kind = pa.schema([("key", q.schema.field("key").type), ("ord", e.schema.field("ord").type), ("score", pa.float64())])
+        ords = np.sort(e["ord"].filter(pc.is_null(e["tid"])).to_numpy())
+        keys = q["key"].filter(pc.is_null(q["tid"])).combine_chunks()
+        if not len(ords) or not len(keys):
+            return kind.empty_table()
+        e, q = e.filter(pc.is_valid(e["tid"])), q.filter(pc.is_valid(q["tid"]))
+        tid = e["tid"].to_numpy()
+        by_term = np.argsort(tid, kind="stable")
+        place, weight = np.searchsorted(ords, e["ord"].to_numpy())[by_term], e["w"].to_numpy()[by_term]
+        asked, times = q["tid"].to_numpy(), q["w"].to_numpy()
+        first, last = (np.searchsorted(tid[by_term], asked, side) for side in ("left", "right"))
+        whose = pc.index_in(q["key"], value_set=keys).to_numpy()
+        of_query = np.argsort(whose, kind="stable")
+        ends = np.searchsorted(whose[of_query], np.arange(len(keys) + 1))
+        kept, n = min(depth, len(ords)), len(ords)
+        took, scores = np.empty((len(keys), kept), dtype="int64"), np.empty((len(keys), kept))
+        for i in range(len(keys)):
+            mine = [j for j in of_query[ends[i]:ends[i + 1]] if first[j] < last[j]]
+            total = np.zeros(n)
+            if mine:
+                total = np.round(np.bincount(np.concatenate([place[first[j]:last[j]] for j in mine]),
+                                             np.concatenate([weight[first[j]:last[j]] * times[j] for j in mine]), n), 9)
+            # all above the last useful score, then the first entries that have it
+            edge = -np.partition(-total, kept - 1)[kept - 1]
+            above = np.flatnonzero(total > edge)
+            picked = np.concatenate([above, np.flatnonzero(total == edge)[:kept - len(above)]])
+            took[i], scores[i] = picked, total[picked]
+        return pa.Table.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(keys)), kept))),
+                                     pa.array(ords[took.ravel()], kind.field("ord").type), pa.array(scores.ravel())], schema=kind)
+
+    return run
 
 
 def number_entries(entries: DataFrame) -> DataFrame:
