@@ -102,14 +102,21 @@ def cut(docs: DataFrame, text_col: str = "text") -> DataFrame:
     `_above[i]` is the start of the line in force where piece i begins, `_below[i]` the first line break from there on
     (the length of the text if there is none); both have one entry more than there are pieces.
     """
-    pieced = docs.select("doc_id", F.length(text_col).alias("_size"),
-                         F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("_pieces"))
+    text = F.col(text_col)
+    one = F.length(text).between(1, PIECE)  # a short text is its only piece and needs no running numbers
+    pieced = docs.select("doc_id", F.length(text).alias("_size"), F.when(one, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("_pieces"))
     broken = lambda x: F.contains(x, F.lit("\n"))
     last = F.transform("_pieces", lambda x, i: F.when(broken(x), i * PIECE + F.length(x) - F.length(F.substring_index(x, "\n", -1))))
     first = F.transform("_pieces", lambda x, i: F.when(broken(x), i * PIECE + F.length(F.substring_index(x, "\n", 1))))
     above = _running(last, F.lit(0), F.greatest, F.array_max)
     below = F.reverse(_running(F.reverse(first), F.col("_size"), F.least, F.array_min))
-    return pieced.select("doc_id", "_size", "_pieces", above.alias("_above"), below.alias("_below"))
+    only = F.get("_pieces", F.lit(0))
+    one = F.col("_size").between(1, PIECE)
+    single_above = F.array(F.lit(0), F.when(broken(only), F.col("_size") - F.length(F.substring_index(only, "\n", -1))).otherwise(0))
+    single_below = F.array(F.length(F.substring_index(only, "\n", 1)), F.col("_size"))
+    return pieced.select("doc_id", "_size", "_pieces", F.when(one, single_above).otherwise(above).alias("_above"),
+                         F.when(one, single_below).otherwise(below).alias("_below"))
 
 
 def pieced() -> PiecedText:

@@ -33,3 +33,22 @@ def test_block_scores_keep_ties_in_entry_order():
     assert len(retrieval._block_scores(9)(q, e)) == 12
     assert len(retrieval._block_scores(3)(q.slice(0, 0), e)) == len(retrieval._block_scores(3)(q, e.slice(0, 0))) == 0
     assert np.isclose(sum(r["score"] for r in retrieval._block_scores(9)(q, e).to_pylist()), -1.0)
+
+
+def test_short_texts_are_not_cut(spark):
+    """A text of one piece gets its piece and line breaks directly; the numbers stay those of the text."""
+    from spanwright.functions.lines import PIECE, cut
+
+    texts = [None, "", "\n", "a", "ab\ncd", "\n\n", "x" * PIECE, "\n" + "é" * (PIECE - 1), "\U0001F600" * (PIECE - 1) + "\n", "x\n" * (PIECE // 2) + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in cut(docs).collect():
+        t = texts[r["doc_id"]]
+        if t is None:
+            assert r["_size"] is None
+            continue
+        pieces = [t[i:i + PIECE] for i in range(0, len(t), PIECE)]
+        at = [i * PIECE for i in range(len(pieces) + 1)]
+        assert (r["_size"], r["_pieces"]) == (len(t), pieces)
+        assert r["_above"] == [t.rfind("\n", 0, i) + 1 for i in at], repr(t[:20])
+        assert r["_below"] == [t.find("\n", i) if t.find("\n", i) >= 0 else len(t) for i in at], repr(t[:20])
+    assert cut(docs)._jdf.queryExecution().optimizedPlan().toString().count("array(text") > 0
