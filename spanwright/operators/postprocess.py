@@ -24,22 +24,29 @@ def drop_headings(concepts: DataFrame, headings=vocab.STOP_HEADINGS) -> DataFram
 
 
 def unify_types(concepts: DataFrame) -> DataFrame:
-    """Equal strings of a document take their majority type; the first seen wins a tie."""
-    keyed = concepts.withColumn("_k", vote_key(F.col("text")))
-    best = (keyed.groupBy("doc_id", "_k", "type").agg(F.count("*").alias("n"), F.min("cid").alias("first"))
-            .groupBy("doc_id", "_k").agg(F.min_by("type", F.struct(-F.col("n"), F.col("first"))).alias("_best")))
-    return keyed.join(best, ["doc_id", "_k"]).withColumn("type", F.col("_best")).select(concepts.columns)
+    """Equal strings of a document take their majority type; the first seen wins a tie.
+
+    Both windows run over rows that lie together by document and share one sort, so the concepts are read once and
+    joined with nothing.
+    """
+    keyed = concepts.withColumn("_k", vote_key(F.col("text"))).filter(F.col("doc_id").isNotNull() & F.col("_k").isNotNull())
+    same = Window.partitionBy("doc_id", "_k", "type")
+    counted = keyed.withColumn("_n", F.count("*").over(same)).withColumn("_first", F.min("cid").over(same))
+    best = F.min_by("type", F.struct(-F.col("_n"), F.col("_first"))).over(Window.partitionBy("doc_id", "_k"))
+    return counted.withColumn("type", best).select(concepts.columns)
 
 
 def unify_labels(concepts: DataFrame) -> DataFrame:
     """Equal string and type: the majority non-empty code list replaces all; assertions stay."""
     keyed = concepts.withColumn("_k", vote_key(F.col("text")))
-    best = (keyed.filter(F.size("candidates") > 0).groupBy("doc_id", "_k", "type", "candidates")
-            .agg(F.count("*").alias("n"), F.min("cid").alias("first"))
-            .groupBy("doc_id", "_k", "type")
-            .agg(F.min_by("candidates", F.struct(-F.col("n"), F.col("first"))).alias("_best")))
-    return keyed.join(best, ["doc_id", "_k", "type"], "left").withColumn(
-        "candidates", F.coalesce("_best", "candidates")).select(concepts.columns)
+    same = Window.partitionBy("doc_id", "_k", "type", "candidates")
+    counted = keyed.withColumn("_n", F.count("*").over(same)).withColumn("_first", F.min("cid").over(same))
+    votes = F.when(F.size("candidates") > 0, F.struct(-F.col("_n"), F.col("_first")))
+    best = F.min_by("candidates", votes).over(Window.partitionBy("doc_id", "_k", "type"))
+    # without a document, text or type a concept equals no other one
+    known = F.col("doc_id").isNotNull() & F.col("_k").isNotNull() & F.col("type").isNotNull()
+    return counted.withColumn("_best", best).withColumn(
+        "candidates", F.coalesce(F.when(known, F.col("_best")), "candidates")).select(concepts.columns)
 
 
 def apply(concepts: DataFrame, redacted: bool = True, headings: bool = True, types: bool = True,

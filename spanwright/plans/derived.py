@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanwright import vocab
 from spanwright.functions.text import fold_punctuation
 from spanwright.operators.models import tokenize_column
-from spanwright.session import read_table, spread
+from spanwright.session import bounded_tasks, read_table, spread
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -109,9 +109,9 @@ def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines with a unique number `cid` inside their order."""
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    return read_table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").withColumn(
-        "cid", F.row_number().over(w) - 1)
+    lines = read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return bounded_tasks(lines, "l_orderkey").withColumn("cid", F.row_number().over(w) - 1)
 
 
 def _order_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,3 +52,42 @@ def test_short_texts_are_not_cut(spark):
         assert r["_above"] == [t.rfind("\n", 0, i) + 1 for i in at], repr(t[:20])
         assert r["_below"] == [t.find("\n", i) if t.find("\n", i) >= 0 else len(t) for i in at], repr(t[:20])
     assert cut(docs)._jdf.queryExecution().optimizedPlan().toString().count("array(text") > 0
+
+
+def test_unified_concepts_are_read_once(spark):
+    """Types and labels against direct counting, with nulls and ties; no join, no shuffle of rows laid out by document."""
+    import random
+
+    from spanwright.operators import postprocess
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 3, None]), i, rng.choice(["Ho ", "ho", "x", None]), rng.choice(["A", "B", None]),
+             rng.choice([[], ["p"], ["q"], ["p", "q"], None])) for i in range(160)]
+    concepts = spark.createDataFrame(rows, "doc_id long, cid int, text string, type string, candidates array<string>")
+    key = lambda r: (r[0], r[2].strip().lower() if r[2] is not None else None)
+
+    def majority(members, value):
+        seen = {}
+        for r in members:
+            seen.setdefault(repr(value(r)), []).append(r)
+        return value(min(seen.values(), key=lambda rs: (-len(rs), min(r[1] for r in rs)))[0])
+
+    whole = [r for r in rows if None not in key(r)]
+    types = {r["cid"]: r["type"] for r in postprocess.unify_types(concepts).collect()}
+    assert types == {r[1]: majority([x for x in whole if key(x) == key(r)], lambda x: x[3]) for r in whole}
+    want = {}
+    for r in rows:
+        peers = [x for x in whole if key(x) == key(r) and x[3] == r[3] and r[3] is not None and x[4]]
+        want[r[1]] = majority(peers, lambda x: x[4]) if peers else r[4]
+    assert {r["cid"]: r["candidates"] for r in postprocess.unify_labels(concepts).collect()} == want
+    plan = postprocess.unify_labels(postprocess.unify_types(concepts.repartition("doc_id")))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_large_tables_get_bounded_tasks(spark, monkeypatch):
+    from spanwright import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    assert session.bounded_tasks(spark.range(5000), "id").rdd.getNumPartitions() == 100
+    small = spark.range(300)
+    assert session.bounded_tasks(small, "id") is small
