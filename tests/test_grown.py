@@ -91,3 +91,16 @@ def test_large_tables_get_bounded_tasks(spark, monkeypatch):
     assert session.bounded_tasks(spark.range(5000), "id").rdd.getNumPartitions() == 100
     small = spark.range(300)
     assert session.bounded_tasks(small, "id") is small
+
+
+def test_sections_keep_the_layout_by_document(spark):
+    """Concepts with their section are grouped by document without another shuffle."""
+    from spanwright.operators import layout
+
+    concepts = spark.createDataFrame([(1, 0, "x", 5), (2, 0, "y", 1)], "doc_id long, cid int, text string, start int")
+    headings = spark.createDataFrame([(1, 2, 4, 1, "Top")], "doc_id long, start int, end int, level int, title string")
+    placed = layout.section_path(concepts, headings)
+    assert placed.columns == [*concepts.columns, "section"]
+    assert sorted(map(tuple, placed.collect())) == [(1, 0, "x", 5, "Top"), (2, 0, "y", 1, "")]
+    plan = placed.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
