@@ -181,11 +181,15 @@ def index(texts: DataFrame, path: str, frequent, seed: int = 0, shard_words: int
     return texts.sparkSession.read.parquet(path)
 
 
-def _slots(columns: list[np.ndarray], slots: int) -> np.ndarray:
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     acc = np.zeros(len(columns[0]), U64)
     for c in columns:
         acc = mix(acc * U64(0xA0761D6478BD642F) + c.view(U64) + U64(1))
-    return (acc >> U64(64 - slots.bit_length() + 1)).astype(np.int64)
+    return acc
+
+
+def _slots(columns: list[np.ndarray], slots: int) -> np.ndarray:
+    return (_mixed(columns) >> U64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
 def _bitmap(spark: SparkSession, phrases: DataFrame, n: int, slots: int):
@@ -201,6 +205,11 @@ def _bitmap(spark: SparkSession, phrases: DataFrame, n: int, slots: int):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "bits"])
 
     found = phrases.select(*[f"h{k}" for k in range(1, n + 1)]).mapInArrow(each, "cell bigint, bits bigint")
+    return _collected(spark, found, slots)
+
+
+def _collected(spark: SparkSession, found: DataFrame, slots: int):
+    """The broadcast bitmap of all (cell, bits)."""
     rows = found.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     cells = np.zeros(slots // 64, "<i8")
     cells[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
@@ -212,8 +221,72 @@ def _in(bits: np.ndarray, hashes: np.ndarray, symbols: np.ndarray) -> np.ndarray
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
-    """(h1..hn, a) of all phrases of n words with at least `least` occurrences; `passed` holds the bitmaps of shorter ones."""
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 byte by byte, all lowest bytes first: the empty high bytes cost nothing once compressed."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _likely_pairs(shards: DataFrame, least: int, single, slots: int, bucket_words: int = 1 << 21):
+    """A broadcast bitmap of all pairs of words with at least `least` occurrences, and of a few others.
+
+    Most pairs of a shard are rare everywhere. Their counts are first summed by a number of 32 bits within a bucket, which
+    travels as sorted differences, some four bytes a pair; only pairs let through are counted by both words.
+    """
+    words = shards.select(F.inline("sizes")).agg(F.sum("words")).first()[0] or 0
+    high = max(4, (words // bucket_words).bit_length())  # buckets follow the words, so each stays of bounded size
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = single.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = np.concatenate(([0], batch.column(0)[i].values.to_numpy()))
+                kind = np.uint16 if len(hashes) - 1 < 65535 else np.uint32
+                side = np.frombuffer(batch.column(1)[i].as_buffer(), kind)
+                found = WordIndex(side, side, len(hashes))
+                at = found.single()
+                at = found.left(at.where(_in(bits, hashes, at.symbols)))
+                at = at.where(_in(bits, hashes, at.symbols[:, :1]))
+                code = _mixed([hashes[at.symbols[:, k]] for k in range(2)]) >> U64(32 - high)
+                order = np.argsort(code)
+                code, held = code[order], np.minimum(at.count[order], least)
+                bucket, low = (code >> U64(32)).astype(np.int64), (code & U64(0xFFFFFFFF)).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(code)) if len(code) else [0]
+                parts = [(int(bucket[a]), _planes(np.diff(low[a:b], prepend=0)) + _planes(held[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["bucket", "pairs"])
+            pa.default_memory_pool().release_unused()
+
+    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, helds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for raw in batch.column(batch.schema.get_field_index("pairs")):
+                one, two = np.frombuffer(raw.as_buffer(), np.uint8).reshape(2, -1)
+                lows.append(np.cumsum(_unplaned(one)))
+                helds.append(_unplaned(two))
+        low, held = np.concatenate(lows), np.concatenate(helds)
+        order = np.argsort(low)
+        low, held = low[order], held[order]
+        heads = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
+        total = np.add.reduceat(held, heads) if len(heads) else held
+        code = (U64(key[0].as_py()) << U64(32)) | low[heads][total >= least].astype(U64)
+        at = np.unique(code >> U64(32 + high - slots.bit_length() + 1)).astype(np.int64)
+        cells, first = np.unique(at >> 6, return_index=True)
+        masks = np.left_shift(U64(1), (at & 63).astype(U64))
+        joined = np.bitwise_or.reduceat(masks, first) if len(at) else masks
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(joined.view(np.int64))], ["cell", "bits"])
+
+    packed = shards.select("hashes", "forward").mapInArrow(each, "bucket int, pairs binary")
+    return _collected(shards.sparkSession, packed.groupBy("bucket").applyInArrow(merged, "cell bigint, bits bigint"), slots)
+
+
+def _summed(shards: DataFrame, n: int, least: int, passed: list, likely=None) -> DataFrame:
+    """(h1..hn, a) of all phrases of n words with at least `least` occurrences; `passed` holds the bitmaps of shorter ones.
+
+    `likely`, if given, is a bitmap of all phrases of n words that can be among them.
+    """
     names = [f"h{k}" for k in range(1, n + 1)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +303,15 @@ def _summed(shards: DataFrame, n: int, least: int, passed: list) -> DataFrame:
                     at = found.right(at) if k == 3 else found.left(at)
                     part = at.symbols[:, 1:] if k == 3 else at.symbols[:, :-1]  # the other part was held to the bitmap before
                     at = at.where(_in(bits, hashes, part))
+                if likely is not None:
+                    at = at.where(_in(likely.value, hashes, at.symbols))
                 columns = [pa.array(hashes[at.symbols[:, k]]) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(at.count)], [*names, "a"])
             pa.default_memory_pool().release_unused()
 
     sides = ["forward", "reverse"] if n > 3 else ["forward"]
     counted = shards.select("hashes", *sides).mapInArrow(each, ", ".join(f"{c} bigint" for c in [*names, "a"]))
-    # pairs hardly repeat between the shards of one task, so they are summed after the shuffle only; longer phrases do
-    spread = counted.repartition(*names) if n == 2 else counted
-    return durable(spread.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    return durable(counted.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
 def _strings(shards: DataFrame, used: DataFrame, slots: int) -> DataFrame:
@@ -271,7 +344,8 @@ def counted(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_co
     passed, tables = [_bitmap(spark, words, 1, slots)], []
     shards = index(texts, f"{shared_folder(spark)}/word-index-{uuid.uuid4().hex}", passed[0], seed, shard_words)
     for n in range(2, LONGEST + 1):
-        tables.append(_summed(shards, n, least, passed))
+        likely = _likely_pairs(shards, least, passed[0], slots) if n == 2 else None
+        tables.append(_summed(shards, n, least, passed, likely))
         if n < LONGEST:
             passed.append(_bitmap(spark, tables[-1], n, slots))
     sizes = shards.select(F.inline("sizes")).groupBy("lang").agg(F.sum("words").alias("n"))

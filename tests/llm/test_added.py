@@ -115,6 +115,19 @@ def plain_collocations(rows, least, percent=80, top=2000):
     return sorted(out)
 
 
+def test_rare_pairs_are_counted_without_their_words(spark, tmp_path):
+    values = np.array([0, 1, 255, 256, 70000, 2**32 - 1])
+    assert collocations._unplaned(np.frombuffer(collocations._planes(values), np.uint8)).tolist() == values.tolist()
+    rows = [(i, f"good old day w{i} x{i}", "en") for i in range(40)] + [(99, "old day. w1 x2 w1 x2 w3", "en")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang").repartition(3)
+    every = spark.sparkContext.broadcast(np.full(1 << 17, 255, np.uint8))
+    shards = collocations.index(texts, str(tmp_path / "index"), every, shard_words=20)
+    seen = collocations._likely_pairs(shards, 5, every, 1 << 20, bucket_words=1)
+    assert 0 < int(np.unpackbits(seen.value).sum()) <= 2          # "good old" and "old day", of more than eighty pairs
+    found = collocations._summed(shards, 2, 5, [every], seen).collect()
+    assert sorted(r.a for r in found) == [40, 41]
+
+
 @pytest.mark.parametrize("shard,slots", [(1 << 19, 1 << 25), (150, 1 << 12)])
 def test_collocations_match_plain_version(docs, empty, shard, slots):
     """Also with many small shards, and with phrases that share a slot so that only the final counts decide."""
