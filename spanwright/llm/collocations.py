@@ -33,6 +33,8 @@ SHARD_WORDS = 1 << 19
 SLOTS = 1 << 25
 NO_LANG = "und"
 SEEDS = 8
+LOW = 24
+"""Bits of the numbers by which pairs of one bucket are first counted; pairs that share one only cost a row."""
 
 # What ends a piece, and what else separates words.
 BREAK = np.zeros(256, bool)
@@ -233,8 +235,8 @@ def _unplaned(raw: np.ndarray) -> np.ndarray:
 def _likely_pairs(shards: DataFrame, least: int, single, slots: int, bucket_words: int = 1 << 21):
     """A broadcast bitmap of all pairs of words with at least `least` occurrences, and of a few others.
 
-    Most pairs of a shard are rare everywhere. Their counts are first summed by a number of 32 bits within a bucket, which
-    travels as sorted differences, some four bytes a pair; only pairs let through are counted by both words.
+    Most pairs of a shard are rare everywhere. Their counts are first summed by a number of `LOW` bits within a bucket, which
+    travels as compressed sorted differences; only pairs let through are counted by both words.
     """
     words = shards.select(F.inline("sizes")).agg(F.sum("words")).first()[0] or 0
     high = max(4, (words // bucket_words).bit_length())  # buckets follow the words, so each stays of bounded size
@@ -250,20 +252,23 @@ def _likely_pairs(shards: DataFrame, least: int, single, slots: int, bucket_word
                 at = found.single()
                 at = found.left(at.where(_in(bits, hashes, at.symbols)))
                 at = at.where(_in(bits, hashes, at.symbols[:, :1]))
-                code = _mixed([hashes[at.symbols[:, k]] for k in range(2)]) >> U64(32 - high)
+                code = _mixed([hashes[at.symbols[:, k]] for k in range(2)]) >> U64(64 - LOW - high)
                 order = np.argsort(code)
                 code, held = code[order], np.minimum(at.count[order], least)
-                bucket, low = (code >> U64(32)).astype(np.int64), (code & U64(0xFFFFFFFF)).astype(np.int64)
+                bucket, low = (code >> U64(LOW)).astype(np.int64), (code & U64((1 << LOW) - 1)).astype(np.int64)
                 cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(code)) if len(code) else [0]
-                parts = [(int(bucket[a]), _planes(np.diff(low[a:b], prepend=0)) + _planes(held[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["bucket", "pairs"])
+                parts = [(int(bucket[a]), int(b - a), pa.compress(_planes(np.diff(low[a:b], prepend=0)) + _planes(held[a:b]), "zstd", asbytes=True))
+                         for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in parts], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))],
+                                                 ["bucket", "n", "pairs"])
             pa.default_memory_pool().release_unused()
 
     def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, helds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for raw in batch.column(batch.schema.get_field_index("pairs")):
-                one, two = np.frombuffer(raw.as_buffer(), np.uint8).reshape(2, -1)
+            n, raw = (batch.column(batch.schema.get_field_index(c)) for c in ("n", "pairs"))
+            for k in range(batch.num_rows):
+                one, two = np.frombuffer(pa.decompress(raw[k].as_buffer(), 8 * n[k].as_py(), "zstd"), np.uint8).reshape(2, -1)
                 lows.append(np.cumsum(_unplaned(one)))
                 helds.append(_unplaned(two))
         low, held = np.concatenate(lows), np.concatenate(helds)
@@ -271,14 +276,14 @@ def _likely_pairs(shards: DataFrame, least: int, single, slots: int, bucket_word
         low, held = low[order], held[order]
         heads = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
         total = np.add.reduceat(held, heads) if len(heads) else held
-        code = (U64(key[0].as_py()) << U64(32)) | low[heads][total >= least].astype(U64)
-        at = np.unique(code >> U64(32 + high - slots.bit_length() + 1)).astype(np.int64)
+        code = (U64(key[0].as_py()) << U64(LOW)) | low[heads][total >= least].astype(U64)
+        at = np.unique(code >> U64(LOW + high - slots.bit_length() + 1)).astype(np.int64)
         cells, first = np.unique(at >> 6, return_index=True)
         masks = np.left_shift(U64(1), (at & 63).astype(U64))
         joined = np.bitwise_or.reduceat(masks, first) if len(at) else masks
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(joined.view(np.int64))], ["cell", "bits"])
 
-    packed = shards.select("hashes", "forward").mapInArrow(each, "bucket int, pairs binary")
+    packed = shards.select("hashes", "forward").mapInArrow(each, "bucket int, n int, pairs binary")
     return _collected(shards.sparkSession, packed.groupBy("bucket").applyInArrow(merged, "cell bigint, bits bigint"), slots)
 
 
