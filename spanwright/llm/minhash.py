@@ -1,13 +1,14 @@
-"""Near-duplicate documents by an inverted join over MinHash signature coordinates.
+"""Near-duplicate documents by an inverted join over pairs of MinHash signature coordinates.
 
 Every text is the set of its distinct word shingles. Texts with equal sets collapse into one
-class first. The signature of a class has `COORDINATES` values; each (coordinate, value) pair is
-a posting key. A pair of classes with at least `MATCHES` equal coordinates is a candidate:
-
-* values that only one class holds cannot collide and are left out after counting; a class that
-  keeps fewer than `MATCHES` values has no partner at all;
-* of the values left, ordered from rare to frequent, a pair with enough matches must share one of
-  the first `size - MATCHES + 1` (the prefix), so only these are posted; the frequent rest is
+class first. The signature of a class has `COORDINATES` values; each two neighbouring ones are a band, and (band, values) is
+a posting key: texts that have little in common rarely agree in two values at once, however many there are. A pair of
+classes with at least `SHARED` equal bands and `MATCHES` equal coordinates is a candidate:
+
+* bands that only one class holds cannot collide and are left out after counting; a class that
+  keeps fewer than `SHARED` bands has no partner at all;
+* of the bands left, ordered from rare to frequent, a pair with enough of them must share one of
+  the first `size - SHARED + 1` (the prefix), so only these are posted; the frequent rest is
   skipped and only read through the two signatures when collisions are counted;
 * similar classes form groups of up to 32 (`blocks`), and a list holds groups, not classes. Collisions are counted for
   all members of two groups at once; groups with a candidate pair are compared as bit matrices of their full sets.
@@ -38,6 +39,9 @@ from spanwright.session import durable, written
 COORDINATES = 64
 MATCHES = 33
 """A pair at similarity 0.8 has fewer equal coordinates with a probability below 1e-6."""
+BANDS = COORDINATES // 2
+SHARED = 6
+"""A pair at similarity 0.8 has fewer equal bands with a probability below 3e-8."""
 HUBS = 10
 LONG = 64
 """Open lists of more parts are not paired out but settled by rare shingles; both ways are exact."""
@@ -56,6 +60,12 @@ def signature(members: np.ndarray) -> np.ndarray:
     return (mix(low) >> U64(32)).astype(np.uint32).view(np.int32)
 
 
+def bands(values: np.ndarray) -> np.ndarray:
+    """BANDS numbers for each signature: equal where both coordinates of a band are."""
+    pairs = np.ascontiguousarray(values).view(U64).reshape(-1, BANDS)
+    return mix(pairs + _FACTORS[:BANDS]).view(np.int64).reshape(-1)
+
+
 def packed(values: np.ndarray) -> np.ndarray:
     """The lowest byte of each coordinate, eight to a 64-bit integer: equal coordinates stay equal."""
     return (values.reshape(-1, COORDINATES) & 0xFF).astype(np.uint8).view("<i8").reshape(-1)
@@ -80,25 +90,25 @@ def _digest(members: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_id, signature, packed) per row; all but the first two are null for an empty set."""
+    """(id, n_shingles, set_id, bands, packed) per row; all but the first two are null for an empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(_shingle_sets(batch.column(1), width)) if batch.num_rows else []
             flat = np.concatenate([signature(s) for s in sets if len(s)] or [np.zeros(0, np.int32)])
-            ends = np.cumsum([COORDINATES if len(s) else 0 for s in sets])
+            filled = np.concatenate(([0], np.cumsum([len(s) > 0 for s in sets])))
             empty = pa.array([len(s) == 0 for s in sets], pa.bool_())
-            signed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
-            short = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends // 8)), pa.int32()), pa.array(packed(flat)))
+            keys = pa.ListArray.from_arrays(pa.array(filled * BANDS, pa.int32()), pa.array(bands(flat)))
+            short = pa.ListArray.from_arrays(pa.array(filled * (COORDINATES // 8), pa.int32()), pa.array(packed(flat)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                 *[pa.compute.if_else(empty, pa.scalar(None, v.type), v) for v in (signed, short)]],
-                ["id", "n_shingles", "set_id", "signature", "packed"])
+                 *[pa.compute.if_else(empty, pa.scalar(None, v.type), v) for v in (keys, short)]],
+                ["id", "n_shingles", "set_id", "bands", "packed"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        each, f"id {kind}, n_shingles long, set_id binary, signature array<int>, packed array<bigint>")
+        each, f"id {kind}, n_shingles long, set_id binary, bands array<bigint>, packed array<bigint>")
 
 
 def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -131,15 +141,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
 
 
 def posting_prefixes(classes: DataFrame) -> DataFrame:
-    """(token, rep, n_shingles): the values of each signature under which its class must be posted."""
-    tokens = classes.select("rep", "n_shingles", F.posexplode("signature").alias("coordinate", "value")).select(
-        "rep", "n_shingles", (F.shiftleft(F.col("coordinate").cast("long"), 32)
-                + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
+    """(token, rep, n_shingles): the bands of each signature under which its class must be posted."""
+    tokens = classes.select("rep", "n_shingles", F.explode("bands").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     ordered = (tokens.join(shared, "token").groupBy("rep", "n_shingles")
                .agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"))
-               .where(F.size("tokens") >= MATCHES))
-    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(MATCHES - 1))
+               .where(F.size("tokens") >= SHARED))
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(SHARED - 1))
     return ordered.select("rep", "n_shingles", F.explode(prefix).alias("t")).select("rep", "n_shingles", F.col("t.token").alias("token"))
 
 
@@ -311,13 +319,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = durable(signatures(docs, width, id_col, text_col))
     usable = F.col("id").isNotNull() & F.col("set_id").isNotNull()
     classes = durable(rows.where(usable).groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").cast("int").alias("n_shingles"),
-                                                                F.first("signature").alias("signature"), F.first("packed").alias("packed")))
+                                                                F.first("bands").alias("bands"), F.first("packed").alias("packed")))
     # Two rows may share an id but not a text: their classes then have one representative and one set of links.
     postings = durable(posting_prefixes(classes))
     active = postings.select("rep").distinct()
-    value = [F.get("signature", F.lit(k)) for k in range(3)]
     signed = durable(classes.join(active, "rep").select("rep", "set_id", "packed", F.col("n_shingles").cast("long").alias("n"),
-                                                        F.xxhash64(*value[:2]).alias("m1"), value[2].cast("long").alias("m2")))
+                                                        F.get("bands", F.lit(0)).alias("m1"), F.get("bands", F.lit(1)).alias("m2")))
     placed = durable(grouped(signed.withColumn("c", F.monotonically_increasing_id())))
     labels = signed.select("rep", F.col("rep").alias("component"))
 

@@ -131,6 +131,29 @@ def test_near_duplicates(spark, prose, width, long, monkeypatch):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, root, i == root), rows[i]
 
 
+def test_texts_of_common_passages_are_not_posted(spark, prose):
+    """Texts that share each passage with other ones agree in most coordinates with somebody, in few bands with anybody."""
+    import random
+
+    draw = random.Random(9)
+    passages = [prose(12, 700 + k) for k in range(400)]
+    frame = spark.createDataFrame([(i, " ".join(draw.sample(passages, 10))) for i in range(200)], "doc_id long, text string")
+    classes = minhash.signatures(frame, 2).withColumn("rep", minhash.F.col("id"))
+    assert minhash.posting_prefixes(classes).count() < 200
+
+
+def test_enough_equal_coordinates_are_an_equal_band():
+    draw = np.random.default_rng(7)
+    one = draw.integers(-1 << 31, 1 << 31, (300, minhash.COORDINATES)).astype(np.int32)
+    two = one.copy()
+    for row in two:  # MATCHES of the coordinates stay
+        at = draw.permutation(minhash.COORDINATES)[minhash.MATCHES:]
+        row[at] ^= 1
+    same = (minhash.bands(one) == minhash.bands(two)).reshape(-1, minhash.BANDS).sum(axis=1)
+    pairs = (one == two).reshape(-1, minhash.BANDS, 2).all(axis=2).sum(axis=1)
+    assert same.min() >= 1 and (same == pairs).all()
+
+
 def test_near_duplicates_edges(docs, empty):
     got = minhash.near_duplicates(docs, 2).collect()
     assert len(got) == docs.count()
