@@ -19,7 +19,7 @@ from spanwright.llm.words import U64, groups, row_slices, shingles, utf8, word_h
 GROUP = 32
 """Members of a group at most: the bits of one mask."""
 SLOTS = 1 << 19
-"""Bound of the table of hashed ids by which texts are filtered before they are shuffled."""
+"""Bound of the tables of hashed ids by which texts and matrices are filtered before they are shuffled."""
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -170,6 +170,9 @@ def blocks_of(members: DataFrame, percent: int) -> DataFrame:
 def opened(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between the members of each pair of groups (g, g2) that connect more than those inside the two do."""
     fields = ("ids", "sizes", "tokens", "masks", "links")
+    slot = F.pmod(F.xxhash64("g"), F.lit(SLOTS)).cast("int").alias("slot")  # the matrices of other groups stay where they are
+    wanted = pairs.select("g").union(pairs.select("g2")).select(slot).distinct()
+    blocks = blocks.withColumn("slot", slot).join(F.broadcast(wanted), "slot", "left_semi").drop("slot")
     for at, end in (("g", ""), ("g2", "2")):
         pairs = pairs.join(blocks.select(F.col("g").alias(at), *[F.col(f).alias(f + end) for f in fields]).hint("merge"), at)
 

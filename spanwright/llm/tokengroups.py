@@ -5,9 +5,10 @@ a group is known by the union of its members' tokens. A class can only have a pa
 enough of its tokens, so groups meet as wholes, and only pairs of groups that qualify are opened:
 
 * tokens have one global order, rare ones first, from a count table of fixed size (`SKETCH` cells; it only
-  orders, any error in it costs speed). Two linked sets share their first `MEET` common tokens, and these lie in the
-  first `size - need + MEET` of either set. The matrix holds these prefixes: (token, group).
-* groups that share fewer than `MEET` such tokens, or whose sizes are too far apart, stay closed;
+  orders, any error in it costs speed). Two linked sets share their first `meet` common tokens, and these lie in the
+  first `size - need + meet` of either set. `meet` grows with the smaller size, since large sets share a few tokens by
+  chance. The matrix holds these prefixes: (token, group). Sets with too few tokens that others hold too are left out;
+* groups that share fewer than `meet` such tokens, or whose sizes are too far apart, stay closed;
 * so do groups whose members are all in one component already: each group is opened first with the
   group that it shares most tokens with by being first in their lists, and only lists not settled by these links are
   paired out, group by group.
@@ -31,7 +32,8 @@ from spanwright.llm.words import U64, mix
 from spanwright.session import durable
 
 MEET = 4
-"""Common tokens that the prefixes of a linked pair share at least."""
+"""Common tokens that the prefixes of a linked pair share at least; one more for every `STEP` tokens of the smaller set."""
+STEP = 50
 SKETCH = 1 << 22
 
 
@@ -78,13 +80,22 @@ def need(sizes, percent: int):
     return (sizes * percent + 99) // 100
 
 
+def meet(sizes):
+    """Common tokens that the prefixes of two linked sets share at least, by the size of the smaller one."""
+    return MEET + sizes // STEP
+
+
+def _meet(size: str) -> Column:
+    return MEET + F.floor(F.col(size) / STEP)
+
+
 def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens of a set in the global order; none if only an equal set could be linked."""
     spare = len(tokens) - need(len(tokens), percent)
     if len(tokens) * 100 < (len(tokens) + 1) * percent:  # too small even for a partner with one more token
         return np.zeros(0, U64)
     order = np.lexsort((tokens, counts[_cells(tokens)]))
-    return tokens[order[:spare + MEET]]
+    return tokens[order[:spare + meet(len(tokens))]]
 
 
 def described(docs: DataFrame, width: int, percent: int, counts, id_col: str, text_col: str) -> DataFrame:
@@ -145,21 +156,23 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
 def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, component) of the numbers of all classes that may have a link."""
-    postings = classes.select("c", F.explode("prefix").alias("token"))
+    postings = classes.select("c", "n", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     met = durable(postings.join(shared.select("token"), "token"))
-    able = met.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MEET).select("c")
+    # the smallest partner of a set of n tokens has need(n) of them
+    able = (met.groupBy("c", F.expr(f"(n * {percent} + 99) div 100").alias("least")).agg(F.count(F.lit(1)).alias("k"))
+            .where(F.col("k") >= _meet("least")).select("c"))
     placed = durable(grouped(classes.join(able, "c")))
     span = placed.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"))
-    matrix = durable(met.join(placed.select("c", "g"), "c").select("token", "g").distinct().join(span.drop("members"), "g"))
+    matrix = durable(met.select("c", "token").join(placed.select("c", "g"), "c").select("token", "g").distinct().join(span.drop("members"), "g"))
     labels = placed.select(F.col("c").alias("rep"), F.col("c").alias("component"))
 
     # each group with the one that is first in most of its lists
     first = Window.partitionBy("g").orderBy(F.desc("k"), "g2")
     heads = matrix.groupBy("token").agg(F.min(F.struct("g", "lo", "hi")).alias("h"))
     hubs = (matrix.join(heads, "token").select("g", "lo", "hi", F.col("h.g").alias("g2"), F.col("h.lo").alias("lo2"), F.col("h.hi").alias("hi2"))
-            .where((F.col("g") != F.col("g2")) & _fit("", "2", percent)).groupBy("g", "g2").agg(F.count(F.lit(1)).alias("k"))
-            .where(F.col("k") >= MEET).withColumn("at", F.row_number().over(first)).where("at = 1"))
+            .where((F.col("g") != F.col("g2")) & _fit("", "2", percent)).groupBy("g", "g2", F.least("lo", "lo2").alias("least"))
+            .agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= _meet("least")).withColumn("at", F.row_number().over(first)).where("at = 1"))
     tried = durable(hubs.select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct())
 
     def built(wanted: DataFrame) -> DataFrame:
@@ -179,7 +192,8 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
     other = here.select("token", *[F.col(c).alias(c + "2") for c in ("g", "lo", "hi")], F.col("c1").alias("d1"), F.col("c2").alias("d2"))
     settled = (F.col("c1") == F.col("c2")) & (F.col("d1") == F.col("d2")) & (F.col("c1") == F.col("d1"))
     pairs = durable(here.join(other, "token").where((F.col("g") < F.col("g2")) & _fit("", "2", percent) & ~settled)
-                    .groupBy("g", "g2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MEET).select("g", "g2")
+                    .groupBy("g", "g2", F.least("lo", "lo2").alias("least")).agg(F.count(F.lit(1)).alias("k"))
+                    .where(F.col("k") >= _meet("least")).select("g", "g2")
                     .join(tried, ["g", "g2"], "left_anti"))
     more = pairs.select("g").union(pairs.select("g2")).distinct().join(blocks.select("g"), "g", "left_anti")
     extra = built(more)

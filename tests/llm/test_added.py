@@ -239,3 +239,17 @@ def test_linked_sets_share_prefix_tokens():
             if 100 * both >= percent * (len(one) + len(two) - both) and both < max(len(one), len(two)):  # linked, not equal
                 met = np.intersect1d(tokengroups.prefix(one, counts, percent), tokengroups.prefix(two, counts, percent))
                 assert len(met) >= tokengroups.MEET
+
+
+def test_large_linked_sets_share_more_prefix_tokens():
+    draw = np.random.default_rng(4)
+    counts = draw.integers(0, 9, tokengroups.SKETCH).astype(np.uint16)
+    for percent in (80, 90):
+        for size in (150, 600, 4000):
+            for _ in range(20):
+                one = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+                lost = len(one) * (100 - percent) // 100  # as many as a link allows where nothing else is added
+                two = draw.choice(one, len(one) - int(draw.integers(1, lost + 1)), replace=False)
+                two.sort()
+                met = np.intersect1d(tokengroups.prefix(one, counts, percent), tokengroups.prefix(two, counts, percent))
+                assert len(met) >= tokengroups.meet(len(two)) > tokengroups.MEET
