@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from spanwright.operators import retrieval
 
@@ -104,3 +105,55 @@ def test_sections_keep_the_layout_by_document(spark):
     assert sorted(map(tuple, placed.collect())) == [(1, 0, "x", 5, "Top"), (2, 0, "y", 1, "")]
     plan = placed.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_short_texts_are_read_without_lambdas(spark, tables):
+    """Texts of one piece, of several and null ones side by side; only long texts go through interpreted lambdas."""
+    from spanwright.functions import context as ctx
+    from spanwright.functions.lines import PIECE
+    from spanwright.operators.concepts import with_text
+
+    texts = {1: "ab\n- cd ef\n", 2: "x" * PIECE + "\n- cd ef", 3: None, 4: "\u3000é\u2028 "}
+    rows = spark.createDataFrame([(1, 0, 5, 7), (1, 1, 0, 2), (2, 0, PIECE + 3, PIECE + 5), (3, 0, 0, 1), (4, 0, 1, 2)],
+                                 "doc_id long, cid int, start int, end int")
+    done = with_text(tables[0](texts), rows, line=ctx.line_of, at=lambda t, c: t.line_start(c["start"]),
+                     kinds=lambda t, c: F.array(F.when(t.length() > 3, "long"), F.lit("any")))
+    got = {(r["doc_id"], r["cid"]): (r["line"], r["at"], r["kinds"]) for r in done.collect()}
+    assert got == {(1, 0): ("- cd ef", 3, ["long", "any"]), (1, 1): ("ab", 0, ["long", "any"]), (2, 0): ("- cd ef", PIECE + 1, ["long", "any"]),
+                   (3, 0): (None, None, [None, "any"]), (4, 0): ("é", 0, ["long", "any"])}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "_now" in plan and "isnull(_short" in plan.lower()
+
+
+def test_words_are_found_as_by_the_pattern():
+    from spanwright.functions.batches import CHUNK, words_of
+
+    fields = [pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("text", pa.string())]
+    texts = [None, "", "ab_cde fgh1", "😀é²Ⅷ中௧ª\u0301\x00½x", "abcd", "efgh", "x" * CHUNK, " " + "ü" * CHUNK, None]
+    for least in (1, 3, 4):
+        want = [None if t is None else [dict(start=m.start(), end=m.end(), text=m.group()) for m in re.finditer(r"[^\W_]+", t)
+                                        if m.end() - m.start() >= least] for t in texts]
+        assert words_of(pa.array(texts), least, fields).to_pylist() == want
+        assert words_of(pa.array(texts).slice(2, 3), least, fields).to_pylist() == want[2:5]
+    assert len(words_of(pa.array([], pa.string()), 1, fields)) == 0
+
+
+def test_blanks_are_those_of_the_pattern(spark):
+    from spanwright.functions.text import BLANKS, WS, lstrip, strip
+
+    every = spark.range(0x10000).filter("id < 55296 or id > 57343").select(F.decode(
+        F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    assert sorted(r["c"] for r in every.filter(F.col("c").rlike(f"^{WS}$")).collect()) == sorted(BLANKS)
+    sides = spark.createDataFrame([(BLANKS + "a " + BLANKS + "b" + BLANKS,), (BLANKS,), ("",), (None,)], "t string")
+    assert [tuple(r) for r in sides.select(strip(F.col("t")), lstrip(F.col("t"))).collect()] == [
+        ("a " + BLANKS + "b", "a " + BLANKS + "b" + BLANKS), ("", ""), ("", ""), (None, None)]
+
+
+def test_outlines_are_made_once(spark):
+    """Every reading of the outlines in a plan is the same shuffle, and words are found once per reading."""
+    from spanwright.plans.registered import REGISTERED
+
+    frame = REGISTERED["mention_lines"][0](spark, "/root/testdata/sf0.001")
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 1 and len(re.findall(r"ArrowEvalPython", final)) == 1
