@@ -11,7 +11,6 @@ from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -186,45 +185,102 @@ def best_per_code(ranked: DataFrame, k: int) -> DataFrame:
                       [F.asc("pos")], k).select("key", "rank", "code", "score", "description")
 
 
-BLOCK_ROWS = 4096
+QUERY_BYTES, ENTRY_BYTES = 4 << 20, 16 << 20   # vectors of a block
+TILE = 512, 8192                               # queries and entries multiplied at once
 
 
 def dense_search(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFrame:
     """Exact inner-product top-k over L2-normalised vectors.
 
-    Both sides are cut into hash blocks of bounded size; each block pair is one small matrix
-    product in its own task, and only the best rows per query leave it.
+    Both sides are packed to hash blocks of bounded size, one row of plain numbers each; each block pair is one task of
+    small matrix products, and only the best rows per query leave it. Shuffled are queries x entry blocks and entries x query blocks.
     """
     depth = OVERFETCH * k
-    n_q = max(1, math.ceil(queries.count() / BLOCK_ROWS))
-    n_e = max(1, math.ceil(entries.count() / BLOCK_ROWS))
+    kind = queries.schema["vector"].dataType
+    width = 4 if kind == entries.schema["vector"].dataType == T.ArrayType(T.FloatType(), kind.containsNull) else 8
+    slots = 2 * queries.sparkSession.sparkContext.defaultParallelism
+
+    def number(df: DataFrame, size: int, least: int = 1) -> int:
+        rows, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
+        return max(1, min(least, rows), math.ceil(rows * width * max(dim or 1, 1) / size))
+
+    n_q, n_e = number(queries, QUERY_BYTES, slots), number(entries, ENTRY_BYTES)
 
     def blocks(df: DataFrame, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-        return df.select(F.col(name).alias(name), F.col("vector").cast("array<double>").alias("vector"),
-                         F.pmod(F.xxhash64(name), F.lit(own)).cast("int").alias(mine),
-                         F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
+        packed = df.select(F.pmod(F.xxhash64(name), F.lit(own)).cast("int").alias(mine), F.col(name).alias("id"),
+                           F.col("vector").cast(f"array<{'float' if width == 4 else 'double'}>").alias("vector"))
+        shape = T.StructType([T.StructField(mine, T.IntegerType()), T.StructField("ids", T.ArrayType(df.schema[name].dataType)),
+                              T.StructField("vectors", T.BinaryType())])
+        return packed.groupBy(mine).applyInArrow(_packed(mine), shape).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
 
     left = blocks(queries, "key", n_q, n_e, "qb", "eb")
     right = blocks(entries, "ord", n_e, n_q, "eb", "qb")
-    schema = T.StructType([left.schema["key"], right.schema["ord"],
-                           T.StructField("score", T.DoubleType())])
-
-    def multiply(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or e.empty:
-            return pd.DataFrame({"key": [], "ord": [], "score": []})
-        e = e.sort_values("ord")
-        sims = np.round(np.stack(q["vector"].to_numpy())
-                        @ np.stack(e["vector"].to_numpy()).T, 9)
-        take = np.argsort(-sims, axis=1, kind="stable")[:, :depth]
-        return pd.DataFrame({"key": np.repeat(q["key"].to_numpy(), take.shape[1]),
-                             "ord": e["ord"].to_numpy()[take].ravel(),
-                             "score": np.take_along_axis(sims, take, axis=1).ravel()})
-
-    parts = left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInPandas(multiply, schema)
+    schema = T.StructType([queries.schema["key"], entries.schema["ord"], T.StructField("score", T.DoubleType())])
+    parts = left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInArrow(_block_products(depth, width), schema)
     ranked = top_ranked(parts, ["key"], [F.desc("score"), F.asc("ord")], depth, "pos")
     return best_per_code(ranked.join(entries.select("ord", "code", "description"), "ord"), k)
 
 
+def _packed(name: str):
+    """One row of a block: its ids, and its vectors one after another."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        vectors = rows["vector"].combine_chunks()
+        numbers, sizes = vectors.flatten(), pc.list_value_length(vectors)
+        if vectors.null_count or numbers.null_count or len(pc.unique(sizes)) > 1:
+            raise ValueError("vectors must be whole and of one length")
+        ids = rows["id"].combine_chunks()
+        return pa.Table.from_arrays([rows[name].slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                                     pa.array([numbers.to_numpy(zero_copy_only=False).tobytes()], pa.binary())], [name, "ids", "vectors"])
+
+    return run
+
+
+def _block_products(depth: int, width: int):
+    """The best `depth` entries of one block for every query of one block: score, then ord."""
+
+    def matrix(block: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        ids = block["ids"].combine_chunks().flatten()
+        return ids, np.frombuffer(block["vectors"][0].as_buffer(), f"<f{width}").reshape(len(ids), -1)
+
+    def run(q: pa.Table, e: pa.Table) -> pa.Table:
+        kind = pa.schema([("key", q.schema.field("ids").type.value_type), ("ord", e.schema.field("ids").type.value_type), ("score", pa.float64())])
+        if not len(q) or not len(e):
+            return kind.empty_table()
+        (keys, asked), (ords, known) = matrix(q), matrix(e)
+        order = pc.sort_indices(ords)
+        ords, known = ords.take(order), known[order.to_numpy()].astype(np.float64)
+        found = [_best(asked[low:low + TILE[0]].astype(np.float64), known, depth) for low in range(0, len(keys), TILE[0])]
+        row = np.concatenate([at + n * TILE[0] for n, (at, _, _) in enumerate(found)])
+        return pa.Table.from_arrays([keys.take(pa.array(row)), ords.take(pa.array(np.concatenate([c for _, c, _ in found]))),
+                                     pa.array(np.concatenate([s for _, _, s in found]))], schema=kind)
+
+    return run
+
+
+def _best(asked: np.ndarray, known: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the best `depth` columns of every row of asked x known; of equal scores the first columns.
+
+    Only products that reach the last of the best so far are rounded and compared.
+    """
+    row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(asked), -np.inf)
+    for low in range(0, len(known), TILE[1]):
+        sims = asked @ known[low:low + TILE[1]].T
+        if low == 0 and sims.shape[1] > depth:
+            least = np.partition(sims, -depth, axis=1)[:, -depth]
+        r, c = np.nonzero(~(sims < (least - 1e-8)[:, None]))
+        row, column, score = (np.concatenate(pair) for pair in ((row, r), (column, c + low), (score, np.round(sims[r, c], 9))))
+        order = np.lexsort((column, -score, row))
+        row, column, score = row[order], column[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < depth
+        row, column, score, place = row[kept], column[kept], score[kept], place[kept]
+        last = place == depth - 1
+        least[row[last]] = score[last]
+    return row, column, score
+
+
 def fuse(rankings: list[DataFrame], k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion; ties and descriptions follow the first list holding the code."""
     tagged = None

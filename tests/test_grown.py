@@ -157,3 +157,41 @@ def test_outlines_are_made_once(spark):
     frame.collect()
     final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") >= 1 and len(re.findall(r"ArrowEvalPython", final)) == 1
+
+
+def test_dense_blocks_travel_packed(spark, monkeypatch):
+    """Blocks of several sizes, ties across tiles and blocks, both kinds of vectors: as by sorting all products."""
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(90, 4)), 1).astype("float32")
+    vectors[50:60] = vectors[:10]
+    vectors[88] = 0
+    rows = [(i, f"c{i % 40}", "", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    sims = np.round(vectors.astype("float64") @ vectors.astype("float64").T, 9)
+    want = {}
+    for i in range(90):
+        codes = []
+        for j in np.argsort(-sims[i], kind="stable")[:9]:
+            codes += [(f"c{j % 40}", sims[i, j])] if f"c{j % 40}" not in [c for c, _ in codes] else []
+        want[i] = codes[:3]
+    monkeypatch.setattr(retrieval, "TILE", (7, 13))
+    for kind, size in (("float", 1 << 20), ("float", 400), ("double", 640)):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        monkeypatch.setattr(retrieval, "ENTRY_BYTES", size)
+        entries = spark.createDataFrame(rows, f"ord int, code string, description string, vector array<{kind}>")
+        hits = retrieval.dense_search(entries.select(F.col("ord").alias("key"), "vector"), entries, 3)
+        got = {}
+        for r in sorted(hits.collect(), key=lambda r: (r["key"], r["rank"])):
+            got.setdefault(r["key"], []).append((r["code"], r["score"]))
+        assert got == want, (kind, size)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and not re.search(r"cast\(vector#\d+ as array<double>\).*explode\(sequence", plan)
+
+
+def test_best_products_of_few_and_equal_columns():
+    """Fewer columns than asked for, all equal, none left out by rounding."""
+    one, two = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[0.5, 0.1]] * 3)
+    row, column, score = retrieval._best(one, two, 5)
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and column.tolist() == [0, 1, 2] * 2 and score.tolist() == [0.5] * 3 + [0.1] * 3
+    assert retrieval._best(one, two, 2)[1].tolist() == [0, 1, 0, 1]
+    close = np.array([[0.3 + 4e-10], [0.3 - 4e-10], [0.3]] * 2)
+    assert retrieval._best(np.array([[1.0]]), close, 3)[1].tolist() == [0, 1, 2]
