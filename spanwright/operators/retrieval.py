@@ -185,7 +185,8 @@ def best_per_code(ranked: DataFrame, k: int) -> DataFrame:
                       [F.asc("pos")], k).select("key", "rank", "code", "score", "description")
 
 
-QUERY_BYTES, ENTRY_BYTES = 4 << 20, 16 << 20   # vectors of a block
+BLOCK_ROWS = 65_536                            # rows of a block, and bytes of its vectors
+QUERY_BYTES, ENTRY_BYTES = 4 << 20, 16 << 20
 TILE = 512, 8192                               # queries and entries multiplied at once
 
 
@@ -202,7 +203,7 @@ def dense_search(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFra
 
     def number(df: DataFrame, size: int, least: int = 1) -> int:
         rows, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-        return max(1, min(least, rows), math.ceil(rows * width * max(dim or 1, 1) / size))
+        return max(1, min(least, rows), math.ceil(rows / BLOCK_ROWS), math.ceil(rows * width * max(dim or 1, 1) / size))
 
     n_q, n_e = number(queries, QUERY_BYTES, slots), number(entries, ENTRY_BYTES)
 
