@@ -33,6 +33,8 @@ SHARD_WORDS = 1 << 19
 SLOTS = 1 << 25
 NO_LANG = "und"
 SEEDS = 8
+INDEX_BYTES = 16 << 20
+"""Bytes of shards that are written and read together; a task may have many more of them."""
 LOW = 24
 """Bits of the numbers by which pairs of one bucket are first counted; pairs that share one only cost a row."""
 
@@ -179,7 +181,9 @@ def index(texts: DataFrame, path: str, frequent, seed: int = 0, shard_words: int
                  pa.array([sizes], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))), *lists, *both],
                 ["shard", "sizes", "words", "hashes", "forward", "reverse"])
 
-    texts.mapInArrow(each, _INDEX).write.option("compression", "zstd").parquet(path)
+    # a row has megabytes, and Parquet looks at the size of a group after a hundred rows only: writer and reader would hold all shards of a task
+    sized = {"parquet.block.size": INDEX_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    texts.mapInArrow(each, _INDEX).write.options(compression="zstd", **sized).parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 

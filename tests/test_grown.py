@@ -195,3 +195,27 @@ def test_best_products_of_few_and_equal_columns():
     assert retrieval._best(one, two, 2)[1].tolist() == [0, 1, 0, 1]
     close = np.array([[0.3 + 4e-10], [0.3 - 4e-10], [0.3]] * 2)
     assert retrieval._best(np.array([[1.0]]), close, 3)[1].tolist() == [0, 1, 2]
+
+
+def test_shards_are_written_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """A task with many shards writes groups of bounded size, and the index is the same."""
+    import pyarrow.parquet as pq
+
+    from spanwright.llm import collocations
+
+    class Every:
+        value = np.full(1 << 10, 255, np.uint8)
+
+    rng = np.random.default_rng(1)
+    texts = spark.createDataFrame([(" ".join(f"w{k}" for k in rng.integers(0, 400, 300)), "en") for _ in range(60)], "text string, lang string").coalesce(1)
+    found = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a shard is closed between batches only
+    for size in (16 << 20, 20_000):
+        monkeypatch.setattr(collocations, "INDEX_BYTES", size)
+        path = str(tmp_path / str(size))
+        found.append(sorted(map(str, collocations.index(texts, path, Every, 0, 600).collect())))
+        groups = [pq.ParquetFile(f).metadata for f in (tmp_path / str(size)).glob("*.parquet")]
+        rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+        assert sum(rows) == len(found[0]) >= 25 and (len(rows) == 1 if size > 1 << 20 else max(rows) <= 10)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
